@@ -38,7 +38,7 @@ def remove_key(column: Column, key: str) -> Column:
 def value_text(value: Column) -> Column:
     """A value as text; floating-point numbers have six decimals."""
     real = F.coalesce(value["f32"].cast("double"), value["f64"])
-    return F.coalesce(value["s"], value["i32"].cast("string"), value["i64"].cast("string"), value["b"].cast("string"), F.format_string("%.6f", real))
+    return F.coalesce(value["s"], value["i32"].cast("string"), value["i64"].cast("string"), value["b"].cast("string"), F.when(real.isNotNull(), F.format_string("%.6f", real)))
 
 
 def value_as(value: Column, kind: str) -> Column:

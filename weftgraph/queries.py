@@ -94,11 +94,11 @@ _pattern("left_then_left", document_graph, Query.match("d:Document").traverse("d
 
 # Time
 
-_VERSIONS = "WITH v AS (SELECT user_id AS u_id, event_type AS u_event_type, value AS u_value, epoch_us(ts) AS at, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS until FROM events), mid AS (SELECT 1704067200000000 + 15 * 86400000000::BIGINT AS t)"
+_VERSIONS = "WITH v AS (SELECT user_id AS u_id, event_type AS u_event_type, value AS u_value, epoch_us(ts) AS begun, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS until FROM events), mid AS (SELECT 1704067200000000 + 15 * 86400000000::BIGINT AS t)"
 _MID = (1_704_067_200_000_000 + 15 * 86_400_000_000) * 1000
-_pattern("as_of_valid", event_graph, Query.match("u:User").as_of_valid_time(_MID), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v, mid WHERE at <= t AND t < coalesce(until, 9223372036854775807)")
-_pattern("as_of_tx", event_graph, Query.match("u:User").as_of_tx_time(_MID), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v, mid WHERE at <= t QUALIFY row_number() OVER (PARTITION BY u_id ORDER BY at DESC) = 1")
-_pattern("as_of_bitemporal", event_graph, Query.match("u:User").as_of(_MID - 86_400_000_000_000, _MID), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v, mid WHERE at <= t - 86400000000 AND t - 86400000000 < coalesce(until, 9223372036854775807) AND at <= t")
+_pattern("as_of_valid", event_graph, Query.match("u:User").as_of_valid_time(_MID), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v, mid WHERE begun <= t AND t < coalesce(until, 9223372036854775807)")
+_pattern("as_of_tx", event_graph, Query.match("u:User").as_of_tx_time(_MID), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v, mid WHERE begun <= t QUALIFY row_number() OVER (PARTITION BY u_id ORDER BY begun DESC) = 1")
+_pattern("as_of_bitemporal", event_graph, Query.match("u:User").as_of(_MID - 86_400_000_000_000, _MID), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v, mid WHERE begun <= t - 86400000000 AND t - 86400000000 < coalesce(until, 9223372036854775807) AND begun <= t")
 _pattern("as_of_current", event_graph, Query.match("u:User"), f"{_VERSIONS} SELECT u_id, u_event_type, u_value FROM v WHERE until IS NULL")
 
 # Maps

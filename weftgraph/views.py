@@ -24,7 +24,7 @@ def _edges(table: DataFrame, source: str, target: str) -> DataFrame:
 
 def user_versions(events: DataFrame) -> DataFrame:
     """Each event states its user's whole state from its time on."""
-    return temporal.history(events, "user_id", F.unix_micros("ts") * 1000, ["event_type", "value"])
+    return temporal.history(events, "user_id", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") * 1000, ["event_type", "value"])
 
 
 def star_graph(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Graph:
