@@ -8,6 +8,7 @@ that says which tokens of which document lie where in which sequence. No text or
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import textkit as tk
 from .scratch import broadcast_if_small, materialize
 
 LENGTH = 2048
@@ -30,47 +32,129 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 class Encoder:
-    """Token ids of texts. No pre-token or special token spans ASCII white space, so ids are kept by word."""
+    """Token ids of texts, by word.
 
-    MOST = 200_000  # words remembered; beyond it memory starts afresh
+    No pre-token or special token spans ASCII white space, and none joins an ASCII letter or digit with a stop or comma after
+    it; so a text's ids are those of its words, with such marks at a word's end as words of their own. The tokenizer
+    ignores case but in special tokens. Words met before are looked up by hash; beyond MOST of them memory starts afresh.
+    """
+
+    MOST = 2_500_000
+    BATCH = 512
+    BREAK = "\x01"  # stands alone between words that are encoded together; words that hold it are encoded by themselves
 
     def __init__(self, name: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path(name))
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def ids(self, text: bytes | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        words = text.split()
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) + len(new) > self.MOST:
-                known.clear()
-                new = list(set(words))
-            for word, got in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, np.uint32)
-        return np.concatenate([known[w] for w in words]) if words else np.zeros(0, np.uint32)
+        self.between = self._encode([self.BREAK])[0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.store = np.zeros(0, np.uint32)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some words end to end, and how many each has."""
+        flat, sizes = [], []
+        for lo in range(0, len(words), self.BATCH):
+            some = words[lo : lo + self.BATCH]
+            joined = f" {self.BREAK} ".join(some)
+            if len(self.between) != 1 or joined.count(self.BREAK) != len(some) - 1:
+                got = self._encode(some)
+                flat += got
+                sizes.append([len(x) for x in got])
+                continue
+            ids = self._encode([joined])[0]
+            cut = ids == self.between[0]
+            flat.append(ids[~cut])
+            sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(cut), [len(ids)]])) - 1)
+        return np.concatenate(flat), np.concatenate(sizes).astype(np.int64)
+
+    def ids(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts (their bytes, and where each starts), and how many each has."""
+        words = tk.words_of(data, offs)
+        if not len(words.starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
+        starts, ends, first = _split_marks(words)
+        words = tk.Words(data, starts, ends, first)
+        keys = words.hashes(lower=True)
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        if len(special):
+            special = np.unique(np.searchsorted(starts, special, "right") - 1)
+            keys[special] = tk.mix(words.hashes()[special] + tk.U(1))
+        keys, one, back = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > self.MOST:
+            self.forget()
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            raw = data.tobytes()
+            got, sizes = self.words([raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
+            where = len(self.store) + np.cumsum(sizes) - sizes
+            self.store = np.concatenate([self.store, got])
+            place = at[new]
+            self.keys, self.at, self.size = np.insert(self.keys, place, keys[new]), np.insert(self.at, place, where), np.insert(self.size, place, sizes)
+            at = np.searchsorted(self.keys, keys)
+        at, size = self.at[at][back], self.size[at][back]
+        hop = np.zeros(len(size) + 1, np.int64)
+        np.cumsum(size, out=hop[1:])
+        ids = self.store[np.arange(hop[-1]) + np.repeat(at - hop[:-1], size)]
+        return ids, hop[first[1:]] - hop[first[:-1]]
+
+
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,!?;:")] = True
+_PLAIN = np.zeros(256, bool)
+_PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
+
+
+def _split_marks(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words with a single mark after an ASCII letter or digit at the end split off."""
+    data, starts, ends = words.data, words.starts, words.ends
+    cut = (ends - starts > 1) & _MARK[data[ends - 1]] & _PLAIN[data[ends - 2]]
+    shift = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(cut, out=shift[1:])
+    place = np.arange(len(starts)) + shift[:-1]
+    n = len(starts) + int(shift[-1])
+    s, e = np.empty(n, np.int64), np.empty(n, np.int64)
+    s[place], e[place] = starts, ends - cut
+    s[place[cut] + 1], e[place[cut] + 1] = ends[cut] - 1, ends[cut]
+    return s, e, words.first + shift[words.first]
+
+
+#: One a Python worker: what it has met stays for its next tasks.
+_ENCODERS: dict[str, Encoder] = {}
 
 
 def _encoder(name: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, at, row = Encoder(name), TaskContext.get().partitionId(), 0, 0
-        end = np.array([end_id], np.uint32)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        if name not in _ENCODERS:
+            _ENCODERS[name] = Encoder(name)
+        part, at, row = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
-            for lo in range(0, batch.num_rows, 256):
-                ids = [np.concatenate([encoder.ids(t.as_py()), end]) for t in texts.slice(lo, 256)]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                starts = at + np.cumsum(sizes) - sizes
-                n = len(ids)
+            for lo, hi, data, offs in tk.text_chunks(batch.column(1)):
+                ids, sizes = _ENCODERS[name].ids(data, offs)
+                n = hi - lo
+                sizes = sizes + 1
+                ends = np.cumsum(sizes)
+                whole = np.full(int(ends[-1]), end_id, "<u4")
+                inner = np.ones(len(whole), bool)
+                inner[ends - 1] = False
+                whole[inner] = ids
+                offsets = np.concatenate([[0], 4 * ends]).astype(np.int32)
+                binary = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(whole.tobytes())])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, 256), pa.array(starts), pa.array(sizes), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())],
+                    [pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n)), batch.column(0).slice(lo, n), pa.array(at + ends - sizes), pa.array(sizes), binary],
                     ["part", "row", "doc_id", "local_start", "doc_tokens", "ids"],
                 )
-                at += int(sizes.sum())
+                at += int(ends[-1])
                 row += n
 
     return run
