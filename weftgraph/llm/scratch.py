@@ -44,8 +44,8 @@ def shuffled_join(big: DataFrame, other: DataFrame, keys: list[str], how: str =
     """Join in which adaptive execution can split hot keys.
 
     Spark splits a skewed partition only if an exchange stands right under each side of the join. A side that
-    has just been aggregated by the same keys has none, so a derived key is added to make both sides exchange.
+    has just been aggregated by the same keys has none, so a derived key, of one bit, is added to make both sides exchange.
     """
-    extra = F.xxhash64(*[F.col(k) for k in keys])
+    extra = F.xxhash64(*[F.col(k) for k in keys]).bitwiseAND(F.lit(1))
     cond_big, cond_other = big.withColumn("_jk", extra), other.withColumn("_jk", extra)
     return cond_big.join(cond_other.hint("merge"), [*keys, "_jk"], how).drop("_jk")

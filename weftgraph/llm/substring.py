@@ -16,6 +16,8 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,106 +88,165 @@ def _covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _kept(text: bytes, gone: np.ndarray | None) -> bytes:
-    words = text.split()
-    return b" ".join(words if gone is None or not gone.any() else compress(words, ~gone))
+def _kept(text: bytes, gone: np.ndarray | None, digest: bool) -> bytes:
+    """The text without the words that are gone; for a digest, its words joined by one space."""
+    if digest:
+        words = text.split()
+        return b" ".join(words if gone is None or not gone.any() else compress(words, ~gone))
+    if gone is None or not gone.any():
+        return text
+    words = tk.words_of(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    stay = np.concatenate([[False], ~gone, [False]])
+    first, last = np.flatnonzero(stay[1:-1] & ~stay[:-2]), np.flatnonzero(stay[1:-1] & ~stay[2:])
+    return b" ".join(text[a:b] for a, b in zip(words.starts[first], words.ends[last], strict=True))
 
 
-#: What a document is told of one of its anchors: its windows are all repeated; extend it for itself; for others.
+#: What a document is told of one of its anchors: its windows are all repeated; extend it and ask for each; all are
+#: repeated, and extend it for others.
 SETTLED, ASK, HELP = 0, 1, 2
 
 
-def _extend(length: int, seed: int):
+def _squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts travel compressed."""
+    pack = zstandard.ZstdCompressor(3).compress
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 512):
+            some = batch.slice(lo, 512)
+            texts = pa.array([pack(t) for t in some.column(3).cast(pa.binary()).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], texts], ["k1", "k2", "row", "text"])
+
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    offs = np.zeros(len(texts) + 1, np.int64)
+    np.cumsum([len(t) for t in texts], out=offs[1:])
+    return np.frombuffer(b"".join(texts), np.uint8), offs
+
+
+def _by_size(texts: list[bytes], limit: int = tk.CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    lo = size = 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > limit:
+            yield lo, i
+            lo, size = i, 0
+        size += len(t)
+    if lo < len(texts):
+        yield lo, len(texts)
+
+
+def _extend(length: int, seed: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(3).compress
+        own_id = TaskContext.get().partitionId() << 40  # numbers the rows of the table that is written
         for batch in batches:
-            for lo, hi, data, offs in tk.text_chunks(batch.column(3)):
-                raw, words = data.tobytes(), tk.words_of(data, offs)
-                found = Anchors(words, length, seed)
-                told = batch.column(4).slice(lo, hi - lo).to_pylist()
-                out: dict[str, list] = {x: [] for x in ("n", "gone", "kept", "text", "spans", "gram", "window", "start", "weight")}
-                for i in range(hi - lo):
-                    text, first, n = raw[offs[i] : offs[i + 1]], words.first[i], int(words.counts[i])
-                    spans, gram, window, start, weight = [], [], [], [], []
-                    gone, asks = None, False
-                    if told[i]:
-                        said, own = np.array(told[i], np.int64), found.of(i)
-                        a, b, g = found.lo[own], found.hi[own], found.gram[own]
-                        done = said[said % 3 == SETTLED] // 3
-                        spans = np.column_stack([a[done] - first, b[done] - first + length]).ravel()
-                        gone = _covered(n, spans[::2], spans[1::2])
-                        for j in said[said % 3 != SETTLED]:
-                            at = np.arange(a[j // 3], b[j // 3] + 1)
-                            gram.append(np.full(len(at), g[j // 3]))
-                            window.append(found.rolling.spans(at, at + length))
-                            start.append(at - first)
-                            weight.append(np.full(len(at), j % 3))
-                            asks |= j % 3 == ASK
-                    out["n"].append(n)
-                    out["gone"].append(int(gone.sum()) if gone is not None else 0)
-                    out["kept"].append(None if asks else _kept(text, gone))
-                    out["text"].append(text if asks else None)
-                    out["spans"].append(spans)
-                    for name, got, kind in (("gram", gram, np.uint64), ("window", window, np.uint64), ("start", start, np.int64), ("weight", weight, np.int64)):
-                        out[name].append(np.concatenate(got).astype(kind).view(np.int64) if got else np.zeros(0, np.int64))
-                nested = lambda name, kind: tk.lists(np.concatenate([np.asarray(x, np.int64) for x in out[name]]), np.array([len(x) for x in out[name]]), kind)  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1, 2)), pa.array(out["n"], pa.int64()), pa.array(out["gone"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["text"], pa.binary()), nested("spans", pa.int32()), nested("gram", pa.int64()), nested("window", pa.int64()), nested("start", pa.int32()), nested("weight", pa.int32())],
-                    ["k1", "k2", "doc_id", "n_words", "n_removed", "kept", "text", "spans", "gram", "window", "start", "weight"],
-                )
+            for some in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                packed = some.column(3).to_pylist()
+                texts, told_all = [unpack(t) for t in packed], some.column(4).to_pylist()
+                for lo, hi in _by_size(texts):
+                    words = tk.words_of(*_joined(texts[lo:hi]))
+                    found = Anchors(words, length, seed)
+                    out: dict[str, list] = {x: [] for x in ("n", "gone", "kept", "text", "spans", "gram", "window", "start", "weight")}
+                    for i in range(hi - lo):
+                        text, told = texts[lo + i], told_all[lo + i]
+                        first, n = words.first[i], int(words.counts[i])
+                        spans, gram, window, start, weight = np.zeros(0, np.int64), [], [], [], []
+                        gone, asks = None, False
+                        if told:
+                            said, own = np.array(told, np.int64), found.of(i)
+                            a, b, g = found.lo[own], found.hi[own], found.gram[own]
+                            done = said[said % 3 != ASK] // 3
+                            spans = np.column_stack([a[done] - first, b[done] - first + length]).ravel()
+                            gone = _covered(n, spans[::2], spans[1::2])
+                            for j in said[said % 3 != SETTLED]:
+                                at = np.arange(a[j // 3], b[j // 3] + 1)
+                                gram.append(np.full(len(at), g[j // 3]))
+                                window.append(found.rolling.spans(at, at + length))
+                                start.append(at - first)
+                                weight.append(np.full(len(at), j % 3))
+                                asks |= bool(j % 3 == ASK)
+                        out["n"].append(n)
+                        out["gone"].append(int(gone.sum()) if gone is not None else 0)
+                        body = None if asks else _kept(text, gone, digest)
+                        out["kept"].append(None if asks else hashlib.sha256(body).hexdigest().encode() if digest else pack(body))
+                        out["text"].append(packed[lo + i] if asks else None)
+                        out["spans"].append(spans if asks else spans[:0])
+                        for name, got, kind in (("gram", gram, np.uint64), ("window", window, np.uint64), ("start", start, np.int64), ("weight", weight, np.int64)):
+                            out[name].append(np.concatenate(got).astype(kind).view(np.int64) if got else np.zeros(0, np.int64))
+                    nested = lambda name, kind: tk.lists(np.concatenate(out[name]), np.array([len(x) for x in out[name]]), kind)  # noqa: E731, B023
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.arange(own_id, own_id + hi - lo)), some.column(2).slice(lo, hi - lo), pa.array(out["n"], pa.int64()), pa.array(out["gone"], pa.int64()), pa.array(out["kept"], pa.binary()), pa.array(out["text"], pa.binary()), nested("spans", pa.int32()), nested("gram", pa.int64()), nested("window", pa.int64()), nested("start", pa.int32()), nested("weight", pa.int32())],
+                        ["own", "row", "n_words", "n_removed", "kept", "text", "spans", "gram", "window", "start", "weight"],
+                    )
+                    own_id += hi - lo
 
     return run
 
 
 def _finish(length: int, digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            n_words, n_gone = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            kept, texts, spans, starts = (batch.column(c) for c in (3, 4, 5, 6))
-            gone_out, kept_out = [], []
-            for i in range(batch.num_rows):
-                if kept[i].is_valid:
-                    body, gone = kept[i].as_py(), n_gone[i]
-                else:
-                    span = np.array(spans[i].as_py() or [], np.int64)
-                    more = np.array(starts[i].as_py() or [], np.int64)
-                    mask = _covered(n_words[i], np.append(span[::2], more), np.append(span[1::2], more + length))
-                    body, gone = _kept(texts[i].as_py(), mask), int(mask.sum())
-                gone_out.append(gone)
-                kept_out.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone_out, pa.int64()), pa.array(kept_out, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            for some in (batch.slice(at, 512) for at in range(0, batch.num_rows, 512)):
+                n_words, n_gone = some.column(1).to_pylist(), some.column(2).to_pylist()
+                kept, texts, spans, starts = (some.column(c) for c in (3, 4, 5, 6))
+                gone_out, kept_out = [], []
+                for i in range(some.num_rows):
+                    if kept[i].is_valid:
+                        gone = n_gone[i]
+                        body = kept[i].as_py().decode() if digest else unpack(kept[i].as_py()).decode()
+                    else:
+                        span = np.array(spans[i].as_py() or [], np.int64)
+                        more = np.array(starts[i].as_py() or [], np.int64)
+                        mask = _covered(n_words[i], np.append(span[::2], more), np.append(span[1::2], more + length))
+                        raw, gone = _kept(unpack(texts[i].as_py()), mask, digest), int(mask.sum())
+                        body = hashlib.sha256(raw).hexdigest() if digest else raw.decode()
+                    gone_out.append(gone)
+                    kept_out.append(body)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(gone_out, pa.int64()), pa.array(kept_out, pa.string())], ["row", "n_words", "n_removed", "kept"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, digest: bool = False) -> DataFrame:
-    """One row a document: doc_id, n_words, n_removed, kept (the words left, joined by one space; digest: their SHA-256).
+    """One row a document: row (a struct of all columns but text), n_words, n_removed, kept (the text left).
+
+    Between words that stay together the text keeps its own spacing; elsewhere one space stands. With digest, kept
+    is the SHA-256 of the words left, joined by one space, and row has doc_id alone.
 
     A word goes if a window of length consecutive words that covers it also starts elsewhere, in this document or
     another. Null and empty texts have no words and keep the empty text. Repeated rows count as copies of each other;
-    null ids stay null. Other columns of docs are not looked at.
+    null ids stay null.
     """
     doc_id = F.col("doc_id").cast("bigint")
     # Rows are told apart by id and text: rows equal in both are copies and fare alike.
-    texts = docs.select(F.coalesce(doc_id, F.lit(-1)).alias("k1"), F.xxhash64(doc_id, "text").alias("k2"), doc_id.alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    row = F.struct(doc_id.alias("doc_id")) if digest else F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    texts = docs.select(F.coalesce(doc_id, F.lit(-1)).alias("k1"), F.xxhash64(doc_id, "text").alias("k2"), row.alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     anchors = texts.select("k1", "k2", "text").mapInArrow(_anchors(length, seed), "k1 bigint, k2 bigint, i int, gram bigint, stretch bigint")
-    stretches = anchors.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "i")).alias("one"))
-    mixed = stretches.groupBy("gram").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("gram")
-    repeated = stretches.filter("n > 1").select("gram", "stretch")
-    settled = shuffled_join(anchors, repeated, ["gram", "stretch"]).select("k1", "k2", (F.col("i") * 3 + SETTLED).alias("said"))
-    extended = shuffled_join(stretches, mixed, ["gram"]).select("one.k1", "one.k2", (F.col("one.i") * 3 + F.when(F.col("n") > 1, HELP).otherwise(ASK)).alias("said"))
+    grams = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most")).filter("n > 1")
+    shared = shuffled_join(anchors, grams.select("gram", (F.col("least") != F.col("most")).alias("mixed")), ["gram"])
+    # Where all stretches under an anchor agree, that is all there is to know.
+    shared = materialize(shared.select("k1", "k2", "i", *(F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("gram", "stretch"))), "shared")
+    settled = shared.filter("gram IS NULL").select("k1", "k2", (F.col("i") * 3 + SETTLED).alias("said"))
+    mixed = shared.filter("gram IS NOT NULL").withColumn("one", F.xxhash64("k1", "k2", "i"))
+    stretches = mixed.groupBy("gram", "stretch").agg(F.count("*").alias("n"), F.min("one").alias("first"))
+    several, chosen = F.col("n") > 1, F.col("one") == F.col("first")
+    code = F.when(several & chosen, HELP).when(several, SETTLED).otherwise(ASK)
+    extended = shuffled_join(mixed, stretches, ["gram", "stretch"]).select("k1", "k2", (F.col("i") * 3 + code).alias("said"))
     told = settled.unionByName(extended).groupBy("k1", "k2").agg(F.collect_set("said").alias("told"))
 
-    asked = shuffled_join(texts, told, ["k1", "k2"], "left").select("k1", "k2", "doc_id", "text", "told")
-    schema = "k1 bigint, k2 bigint, doc_id bigint, n_words bigint, n_removed bigint, kept binary, text binary, spans array<int>, gram array<bigint>, window array<bigint>, start array<int>, weight array<int>"
-    state = materialize(asked.mapInArrow(_extend(length, seed), schema), "state")
+    packed = texts.select("k1", "k2", "row", "text")
+    carried = texts.schema["row"].dataType.simpleString()
+    packed = packed.mapInArrow(_squeeze, f"k1 bigint, k2 bigint, row {carried}, text binary")
+    asked = shuffled_join(packed, told, ["k1", "k2"], "left").select("k1", "k2", "row", "text", "told")
+    schema = f"own bigint, row {carried}, n_words bigint, n_removed bigint, kept binary, text binary, spans array<int>, gram array<bigint>, window array<bigint>, start array<int>, weight array<int>"
+    state = materialize(asked.mapInArrow(_extend(length, seed, digest), schema), "state")
 
-    windows = state.filter(F.size("gram") > 0).select("k1", "k2", F.explode(F.arrays_zip("gram", "window", "start", "weight")).alias("w")).select("k1", "k2", "w.*")
-    # A row that stands twice in docs asks twice, for one and the same occurrence.
-    windows = windows.distinct()
-    twice = windows.groupBy("gram", "window").agg(F.sum("weight").alias("n")).filter("n > 1").select("gram", "window")
-    replies = shuffled_join(windows.filter(F.col("weight") == ASK), twice, ["gram", "window"]).groupBy("k1", "k2").agg(F.collect_list("start").alias("starts"))
+    windows = state.filter(F.size("gram") > 0).select("own", F.explode(F.arrays_zip("gram", "window", "start", "weight")).alias("w")).select("own", "w.*")
+    found = windows.groupBy("gram", "window").agg(F.sum("weight").alias("n"), F.min("weight").alias("least"))
+    found = found.filter((F.col("n") > 1) & (F.col("least") == ASK)).select("gram", "window")
+    asking = windows.filter(F.col("weight") == ASK).select("own", "gram", "window", "start")
+    replies = shuffled_join(asking, found, ["gram", "window"]).groupBy("own").agg(F.collect_list("start").alias("starts"))
 
-    done = ["doc_id", "n_words", "n_removed", "kept", "text", "spans"]
+    done = ["row", "n_words", "n_removed", "kept", "text", "spans"]
     settled_rows = state.filter(F.col("kept").isNotNull()).select(*done, F.lit(None).cast("array<int>").alias("starts"))
-    open_rows = shuffled_join(state.filter(F.col("kept").isNull()).select("k1", "k2", *done), replies, ["k1", "k2"], "left").select(*done, "starts")
-    return settled_rows.unionByName(open_rows).mapInArrow(_finish(length, digest), "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    open_rows = shuffled_join(state.filter(F.col("kept").isNull()).select("own", *done), replies, ["own"], "left").select(*done, "starts")
+    return settled_rows.unionByName(open_rows).mapInArrow(_finish(length, digest), f"row {carried}, n_words bigint, n_removed bigint, kept string")
