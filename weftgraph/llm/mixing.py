@@ -43,43 +43,65 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: in
     return shared.select("source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, bits: int = BITS, levels: int = LEVELS) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, copies, taken (copies times size).
+def _hash(bits: int) -> Column:
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    return F.conv(F.substring(digest, 1, bits // 4), 16, 10).cast("bigint")
+
+
+#: A null source becomes an empty one with a flag, to join by plain equality.
+def _key() -> list[Column]:
+    return [F.coalesce("source", F.lit("")).alias("_s"), F.col("source").isNull().alias("_none")]
+
+
+class Mix:
+    """The plan of a mix: how often each source is taken whole, and below which hash once more.
 
     The hash comes from the doc_id (from the text where that is null), so reruns agree and repeated rows are taken
-    alike. Null texts have size 0; null sources form one source, the last. Texts of size 0 have no part in the sums.
+    alike. Null texts have size 0; null sources form one source, the last. Texts of size 0 are taken no time.
     """
-    total = bits * levels
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
-    hashed = F.conv(F.substring(digest, 1, total // 4), 16, 10).cast("bigint")
-    sized = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), hashed.alias("hash")), "sized")
-    per_source = materialize(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("int")
-    # A null source becomes an empty one with a flag, to join by plain equality.
-    key = [F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("none")]
-    plan = per_source.select(*key, "source_size", "target", whole.alias("whole"))
-    plan = plan.withColumn("rest", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
-    rows = sized.select("doc_id", "source", "size", "hash", *key)
-
-    prefix = F.lit(0).cast("bigint")
-    bounds = plan.select("s", "none", "rest", prefix.alias("prefix"))
-    for level in range(1, levels + 1):
-        shift = bits * (levels - level)
-        inside = rows.join(broadcast_if_small(bounds), ["s", "none"]).filter(F.shiftright("hash", shift + bits) == F.col("prefix"))
-        histogram = inside.groupBy("s", "none", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
-        upto = F.sum("n").over(Window.partitionBy("s", "none").orderBy("bucket"))  # 2^bits rows a source at most
-        over = histogram.withColumn("upto", upto).filter("upto > rest")
-        first = over.groupBy("s", "none").agg(F.min(F.struct("bucket", "n", "upto", "rest")).alias("b"))
-        if level < levels:
-            bounds = first.select("s", "none", (F.col("b.rest") - F.col("b.upto") + F.col("b.n")).alias("rest"), F.col("b.bucket").alias("prefix"))
-        else:  # the last bucket goes in if that comes nearer to the target
-            nearer = F.col("b.upto") - F.col("b.rest") < F.col("b.rest") - (F.col("b.upto") - F.col("b.n"))
-            bounds = first.select("s", "none", (F.col("b.bucket") + F.when(nearer, 1).otherwise(0)).alias("below"))
-        bounds = materialize(bounds, "bounds")
-    thresholds = plan.join(bounds, ["s", "none"], "left").select("s", "none", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
-    copies = F.col("whole") + F.when((F.col("hash") < F.col("below")) & (F.col("whole") < cap), 1).otherwise(0)
-    taken = rows.join(broadcast_if_small(materialize(thresholds, "thresholds")), ["s", "none"]).withColumn("copies", copies)
-    return taken.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("bigint").alias("taken"))
+
+    def __init__(self, docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, bits: int = BITS, levels: int = LEVELS):
+        self.cap, self.total = cap, bits * levels
+        source = F.col("source").cast("string").alias("source")
+        self.sized = materialize(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), source, n_words(F.col("text")).alias("size"), _hash(self.total).alias("hash")), "sized")
+        per_source = materialize(source_targets(self.sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
+        whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))).otherwise(0).cast("int")
+        plan = per_source.select(*_key(), "source_size", "target", whole.alias("whole"))
+        plan = plan.withColumn("rest", F.when(F.col("whole") < cap, F.col("target") - F.col("whole") * F.col("source_size")).otherwise(0.0))
+        rows = self.sized.select("size", "hash", *_key())
+        bounds = plan.select("_s", "_none", "rest", F.lit(0).cast("bigint").alias("prefix"))
+        for level in range(1, levels + 1):
+            shift = bits * (levels - level)
+            inside = rows.join(broadcast_if_small(bounds), ["_s", "_none"]).filter(F.shiftright("hash", shift + bits) == F.col("prefix"))
+            histogram = inside.groupBy("_s", "_none", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"))
+            upto = F.sum("n").over(Window.partitionBy("_s", "_none").orderBy("bucket"))  # 2^bits rows a source at most
+            over = histogram.withColumn("upto", upto).filter("upto > rest")
+            first = over.groupBy("_s", "_none").agg(F.min(F.struct("bucket", "n", "upto", "rest")).alias("b"))
+            if level < levels:
+                bounds = first.select("_s", "_none", (F.col("b.rest") - F.col("b.upto") + F.col("b.n")).alias("rest"), F.col("b.bucket").alias("prefix"))
+            else:  # the last bucket goes in if that comes nearer to the target
+                nearer = F.col("b.upto") - F.col("b.rest") < F.col("b.rest") - (F.col("b.upto") - F.col("b.n"))
+                bounds = first.select("_s", "_none", (F.col("b.bucket") + F.when(nearer, 1).otherwise(0)).alias("below"))
+            bounds = materialize(bounds, "bounds")
+        thresholds = plan.join(bounds, ["_s", "_none"], "left").select("_s", "_none", "source_size", "target", "whole", F.coalesce("below", F.lit(0)).alias("below"))
+        self.thresholds = materialize(thresholds, "thresholds")
+
+    def _copies(self, rows: DataFrame) -> DataFrame:
+        """rows with _size and _hash, joined with the thresholds, and _copies."""
+        once_more = (F.col("_hash") < F.col("below")) & (F.col("whole") < self.cap)
+        copies = F.when(F.col("_size") > 0, F.col("whole") + F.when(once_more, 1).otherwise(0)).otherwise(0)
+        return rows.join(broadcast_if_small(self.thresholds), ["_s", "_none"]).withColumn("_copies", copies)
+
+    def table(self) -> DataFrame:
+        """One row a document: doc_id, source, size, source_size, target, copies, taken (copies times size)."""
+        rows = self._copies(self.sized.withColumnsRenamed({"size": "_size", "hash": "_hash"}).select("*", *_key()))
+        return rows.select("doc_id", "source", F.col("_size").alias("size"), "source_size", "target", F.col("_copies").alias("copies"), (F.col("_copies") * F.col("_size")).cast("bigint").alias("taken"))
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """The documents of the mix with all their columns, each as often as it is taken."""
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+        rows = self._copies(docs.select(whole, n_words(F.col("text")).alias("_size"), _hash(self.total).alias("_hash"), *_key()))
+        return rows.filter("_copies > 0").select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
 
 
 MIX_SQL = r"""

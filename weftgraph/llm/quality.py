@@ -7,12 +7,12 @@ without one rule) are bitwise operations over the ledger and never read the text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
@@ -94,30 +94,41 @@ def _measure(column: pa.Array) -> dict[str, np.ndarray]:
     return {m: np.concatenate(v) if v else np.zeros(0, np.int64) for m, v in out.items()}
 
 
-def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            got = _measure(batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(got[m], pa.int64()) for m in MEASURES)], ["doc_id", *MEASURES])
+def _measured(texts: pa.Array) -> pa.Array:
+    got = _measure(texts)
+    return pa.StructArray.from_arrays([pa.array(got[m], pa.int64()) for m in MEASURES], list(MEASURES))
 
 
-def ledger(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """One row a document: doc_id, the measurements, and fail_bits, with bit k set if rule k fails.
+def with_ledger(docs: DataFrame, rules: Rules | None = None, name: str = "ledger") -> DataFrame:
+    """docs with one more column, a struct of the measurements and fail_bits, with bit k set if rule k fails.
 
-    Null and empty texts have no words and so fail too_short. Repeated rows give repeated ledger rows, null ids
-    stay null, and other columns of docs are not looked at.
+    Null and empty texts have no words and so fail too_short. Every row is measured for itself and no row moves. A column
+    of docs that has that name already is replaced.
     """
     rules = rules or Rules()
-    schema = "doc_id bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_measured, schema)
-    bits = " + ".join(f"IF({cond}, {1 << k}L, 0L)" for k, (_, cond) in enumerate(rules.rules))
-    return rows.withColumn("fail_bits", F.expr(bits))
+    measure = F.arrow_udf(_measured, "struct<" + ", ".join(f"{m}: bigint" for m in MEASURES) + ">")
+    bits = F.lit(0).cast("bigint")
+    rows = docs.withColumn(name, measure(F.col("text").cast("string")))
+    for k, (_, cond) in enumerate(rules.rules):
+        names = re.sub(r"\b([a-z]+(?:_[a-z]+)+)\b", lambda m: f"`{name}`.{m[1]}", cond)
+        bits = bits + F.when(F.expr(names), F.lit(1 << k)).otherwise(0)
+    return rows.withColumn(name, F.col(name).withField("fail_bits", bits))
+
+
+def ledger(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
+    """One row a document: doc_id, the measurements, and fail_bits. Null ids stay null, repeated rows give repeated rows."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return with_ledger(rows, rules, "ledger").select("doc_id", "ledger.*")
+
+
+def passes(policy: str = "v1", rules: Rules | None = None, bits: str = "fail_bits") -> Column:
+    """Whether no rule of the policy failed."""
+    return F.col(bits).bitwiseAND(F.lit((rules or Rules()).mask(POLICIES[policy]))) == 0
 
 
 def apply_policy(book: DataFrame, policy: str = "v1", rules: Rules | None = None) -> DataFrame:
     """The ledger with kept: no rule of the policy failed."""
-    rules = rules or Rules()
-    return book.withColumn("kept", F.col("fail_bits").bitwiseAND(F.lit(rules.mask(POLICIES[policy]))) == 0)
+    return book.withColumn("kept", passes(policy, rules))
 
 
 def ablations(book: DataFrame, policy: str = "v1", rules: Rules | None = None) -> DataFrame:

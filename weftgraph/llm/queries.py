@@ -19,7 +19,7 @@ def _held_out(doc_id, parts: int, part: int):
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import mixing
 
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.Mix(_table(spark, sf_dir, "documents")).table().select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring
 
-    return substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("kept", "kept_sha256")
+    found = substring.remove_repeats(_table(spark, sf_dir, "documents"), digest=True)
+    return found.select("row.doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
