@@ -50,7 +50,7 @@ def number(value: Column) -> Column:
     return F.coalesce(value["i32"].cast("double"), value["i64"].cast("double"), value["f32"].cast("double"), value["f64"])
 
 
-def from_json(column: Column) -> Column:
+def from_json(column: Column | str) -> Column:
     """A flat JSON object to a property map: whole numbers are int64, other numbers double, else bool or string."""
     raw = F.from_json(column, "map<string,string>")
 

@@ -80,7 +80,8 @@ class Comparison(Expression):
         return f"{self.path} {self.op} {value}"
 
     def column(self, scope: Resolver) -> Column:
-        """Null equals null and nothing else; an order or text comparison with a null field is false."""
+        """Null equals null and nothing else. An order or text comparison with a null field is null, which no filter lets
+        through; as there is no NOT, that is as good as false, and unlike a coalesce it reaches the scan."""
         ref = scope.resolve(self.path)
         if self.value is None and self.op not in ("=", "!="):
             raise TypeMismatch(f"{self}: null has no order")
@@ -93,7 +94,7 @@ class Comparison(Expression):
         self._check(ref.type.kind)
         if self.op in ("=", "!="):
             return self._equal(ref.column, F.lit(self.value))
-        return F.coalesce(self._ordered(ref.column), F.lit(False))
+        return self._ordered(ref.column)
 
     def _ordered(self, column: Column) -> Column:
         if self.op in TEXTUAL:
@@ -124,7 +125,7 @@ class Comparison(Expression):
         found = maps.number(value) if own in NUMERIC else value[MEMBERS[own]]
         if self.op in ("=", "!="):
             return self._equal(found, F.lit(float(self.value) if own in NUMERIC else self.value))
-        return F.coalesce(self._ordered(found), F.lit(False))
+        return self._ordered(found)
 
 
 @dataclass(frozen=True)
