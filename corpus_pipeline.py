@@ -13,8 +13,8 @@ from weftgraph.llm.scratch import materialize, shuffled_join
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality policy."""
-    judged = quality.with_ledger(docs, name="_ledger")
-    return judged.filter(quality.passes(bits="_ledger.fail_bits")).drop("_ledger")
+    judged = quality.with_ledger(docs, name="__weft_ledger")
+    return judged.filter(quality.passes(bits="__weft_ledger.fail_bits")).drop("__weft_ledger")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

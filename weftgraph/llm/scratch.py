@@ -47,5 +47,5 @@ def shuffled_join(big: DataFrame, other: DataFrame, keys: list[str], how: str =
     has just been aggregated by the same keys has none, so a derived key, of one bit, is added to make both sides exchange.
     """
     extra = F.xxhash64(*[F.col(k) for k in keys]).bitwiseAND(F.lit(1))
-    cond_big, cond_other = big.withColumn("_jk", extra), other.withColumn("_jk", extra)
-    return cond_big.join(cond_other.hint("merge"), [*keys, "_jk"], how).drop("_jk")
+    cond_big, cond_other = big.withColumn("__weft_jk", extra), other.withColumn("__weft_jk", extra)
+    return cond_big.join(cond_other.hint("merge"), [*keys, "__weft_jk"], how).drop("__weft_jk")

@@ -22,7 +22,7 @@ OTHER, START = "*", "^"
 PSEUDO = 2.0  # weight of the lower order
 HELD = 3  # one taught URL of so many calibrates
 STEPS = 400  # cuts tried, evenly over scores in [-LIMIT, LIMIT]
-LIMIT = 4.0
+LIMIT = 8.0
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,11 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     tested = scored(known.filter(~F.col("taught")), ["ruled"]).groupBy(step.alias("step")).agg(*(F.sum(F.when(F.col("ruled") == k, 1).otherwise(0)).alias(k) for k in ("allow", "block")))
     below, every = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     good = F.coalesce(F.sum("block").over(below), F.lit(0)) / F.greatest(F.sum("block").over(every), F.lit(1)) + (F.sum("allow").over(every) - F.coalesce(F.sum("allow").over(below), F.lit(0))) / F.greatest(F.sum("allow").over(every), F.lit(1))
-    cut = tested.withColumn("good", good).agg(F.max(F.struct("good", (-F.abs(F.col("step") - STEPS // 2)).alias("near"), "step")).alias("best")).select(F.coalesce(F.col("best.step") * (2 * LIMIT / STEPS) - LIMIT, F.lit(0.0)).alias("cut"))
+    # The cut lies half way down to the next lower score seen.
+    before = F.coalesce(F.lag("step").over(Window.orderBy("step")), F.col("step") - 1)
+    middle = (F.col("step") + before + 1) / 2 * (2 * LIMIT / STEPS) - LIMIT
+    judged = tested.withColumn("good", good).withColumn("cut", middle)  # STEPS + 1 rows at most
+    cut = judged.agg(F.max(F.struct("good", (-F.abs("cut")).alias("near"), "cut")).alias("best")).select(F.coalesce("best.cut", F.lit(0.0)).alias("cut"))
     cut = cut.first()["cut"]
 
     fields = ["page_id", "host", "path", "rule"]
