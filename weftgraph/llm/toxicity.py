@@ -27,6 +27,7 @@ LEAST_DOCS = 4  # toxic documents that a feature must stand in
 LEAST_LIFT = 20.0  # times more frequent in toxic documents than in others
 LANE = 64  # tokens a lane of the blocked scan
 STEPS = 60
+FIT_BYTES = 1 << 19  # text taken at once while fitting
 AROUND = 12  # tokens on either side of one with a feature that fit the field
 
 
@@ -70,14 +71,14 @@ class Field:
         self.seen = np.zeros(1 << 22, bool)  # quickly says that a feature has no weight
         self.seen[(self.keys & tk.U((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hits(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(token, feature number) of the features with a weight."""
+    def hits(self, features: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(token, feature number, kind of feature) of the features with a weight."""
         token, column = np.nonzero(self.seen[(features & tk.U((1 << 22) - 1)).astype(np.int64)])
         value = features[token, column]
         at = np.searchsorted(self.keys, value)
         good = (at < len(self.keys)) & (value != 0)
         good[good] = self.keys[at[good]] == value[good]
-        return token[good], at[good]
+        return token[good], at[good], column[good]
 
     def potentials(self, n: int, token: np.ndarray, at: np.ndarray) -> np.ndarray:
         return self.bias + np.bincount(token, self.weights[at], n) if n else np.zeros(0)
@@ -171,58 +172,102 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Field:
-    """texts with document labels; weight: how many documents each stands for (the classes are sampled unevenly)."""
-    data = [(t or "").encode() for t in texts]
-    offs = np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)
-    words, features = token_features(np.frombuffer(b"".join(data), np.uint8), offs)
-    first, text_of = words.first, words.text_of()
-    n, kinds = features.shape
-    flat = features.ravel()
-    values, code = np.unique(flat, return_inverse=True)
-    pairs = np.unique(np.repeat(text_of, kinds) * len(values) + code)
-    doc, feature = pairs // max(1, len(values)), pairs % max(1, len(values))
-    in_toxic = np.bincount(feature[toxic[doc] == 1], minlength=len(values))
-    in_clean = np.bincount(feature[toxic[doc] == 0], minlength=len(values))
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    yield from tk.text_chunks(pa.array(texts, pa.large_string()), FIT_BYTES)
+
+
+def _lifted(texts: list[str | None], toxic: np.ndarray) -> np.ndarray:
+    """Features that stand in LEAST_DOCS toxic documents or more, and LEAST_LIFT times as often there as in others; sorted."""
+    seen: list[tuple[np.ndarray, np.ndarray]] = []
+    for lo, _, data, offs in _chunks(texts):
+        words, features = token_features(data, offs)
+        text, flat = np.repeat(words.text_of(), features.shape[1]), features.ravel()
+        order = np.lexsort((flat, text))
+        text, flat = text[order], flat[order]
+        once = np.ones(len(flat), bool)
+        once[1:] = (flat[1:] != flat[:-1]) | (text[1:] != text[:-1])
+        values, back = np.unique(flat[once], return_inverse=True)
+        bad = toxic[lo + text[once]] == 1
+        seen.append((values, np.column_stack([np.bincount(back, bad, len(values)), np.bincount(back, ~bad, len(values))]).astype(np.int32)))
+        if len(seen) == 8:  # keep the counts merged
+            seen = [_merged(seen)]
+    values, counts = _merged(seen)
     n_toxic, n_clean = max(1, int(toxic.sum())), max(1, int((toxic == 0).sum()))
-    lift = (in_toxic / n_toxic) / ((in_clean + 0.3) / n_clean)
-    chosen = np.flatnonzero((in_toxic >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (values != 0))
-    field = Field(values[chosen], np.zeros(len(chosen)), -3.0, np.array([[0.95, 0.05], [0.5, 0.5]]), np.array([0.95, 0.05]), np.zeros(4))
-    token, at = field.hits(features)
-    label = np.zeros(n)
-    label[token] = 1
-    label[toxic[text_of] == 0] = 0
-    # Likelihood gradient ascent with Adam, over weights, bias and transitions, on the tokens around those with a feature:
-    # far from any, the marginals hardly move.
-    near = np.zeros(n + 1, np.int64)
-    lo, hi = np.maximum(token - AROUND, first[text_of[token]]), np.minimum(token + AROUND + 1, first[text_of[token] + 1])
-    np.add.at(near, lo, 1)
-    np.subtract.at(near, hi, 1)
-    near = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-    place = np.zeros(n, np.int64)
-    place[near] = np.arange(len(near))
+    lift = (counts[:, 0] / n_toxic) / ((counts[:, 1] + 0.3) / n_clean)
+    return values[(counts[:, 0] >= LEAST_DOCS) & (lift >= LEAST_LIFT) & (values != 0)]
+
+
+def _merged(seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not seen:
+        return np.zeros(0, np.uint64), np.zeros((0, 2), np.int32)
+    values, back = np.unique(np.concatenate([v for v, _ in seen]), return_inverse=True)
+    counts = np.concatenate([c for _, c in seen])
+    return values, np.column_stack([np.bincount(back, counts[:, k], len(values)) for k in (0, 1)]).astype(np.int32)
+
+
+def _near(n: int, token: np.ndarray, first: np.ndarray, text_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens within AROUND of those given, in their texts; and which of them start a run."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(token - AROUND, first[text_of[token]]), 1)
+    np.subtract.at(step, np.minimum(token + AROUND + 1, first[text_of[token] + 1]), 1)
+    near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
     cut = np.ones(len(near), bool)
     cut[1:] = (near[1:] != near[:-1] + 1) | (text_of[near[1:]] != text_of[near[:-1]])
-    runs, whole, whole_first = np.append(np.flatnonzero(cut), len(near)), (n, token), first
-    n, token, label = len(near), place[token], label[near]
-    inner = np.flatnonzero(~cut)
+    return near, cut
+
+
+def fit(texts: list[str | None], toxic: np.ndarray, weight: np.ndarray) -> Field:
+    """texts with document labels; weight: how many documents each stands for (the classes are sampled unevenly)."""
+    keys = _lifted(texts, toxic)
+    field = Field(keys, np.zeros(len(keys)), -3.0, np.array([[0.95, 0.05], [0.5, 0.5]]), np.array([0.95, 0.05]), np.zeros(4))
+    # Tokens around those with a feature fit the field; far from any, the marginals hardly move.
+    found, labels, cuts, tokens, ats, columns, n = [], [], [], [], [], [], 0
+    for lo, hi, data, offs in _chunks(texts):
+        words, features = token_features(data, offs)
+        token, at, column = field.hits(features)
+        found.append((words.first, token, at))
+        near, cut = _near(len(features), token, words.first, words.text_of())
+        place = np.zeros(len(features), np.int64)
+        place[near] = np.arange(n, n + len(near))
+        label = np.zeros(len(features))
+        label[token] = 1
+        label[toxic[lo + words.text_of()] == 0] = 0
+        labels.append(label[near])
+        cuts.append(cut)
+        tokens.append(place[token])
+        ats.append(at)
+        columns.append(column)
+        n += len(near)
+    k = len(keys)
+    if k and n:
+        label, cut, token, at, column = map(np.concatenate, (labels, cuts, tokens, ats, columns))
+        # The chain is learnt three times over: with all features, without whole words, and with the shortest starts alone;
+        # so words that were not in the sample are told by their starts.
+        views = [np.ones(len(token), bool), column > 0, column == 1]
+        token, at = np.concatenate([token[v] + i * n for i, v in enumerate(views)]), np.concatenate([at[v] for v in views])
+        runs, label = np.append(np.flatnonzero(np.tile(cut, 3)), 3 * n), np.tile(label, 3)
+        inner = np.flatnonzero(~np.tile(cut, 3))
+        _ascend(field, 3 * n, runs, token, at, label, inner)
+    rows = [document_features(field.marginals(field.potentials(int(first[-1]), token, at), first), first) for first, token, at in found]
+    field.layer = _logistic(np.concatenate(rows), toxic.astype(float), weight / weight.mean())
+    return field
+
+
+def _ascend(field: Field, n: int, runs: np.ndarray, token: np.ndarray, at: np.ndarray, label: np.ndarray, inner: np.ndarray) -> None:
+    """Likelihood gradient ascent with Adam, over weights, bias and transitions."""
     seen = np.zeros((2, 2))
     np.add.at(seen, (label[inner - 1].astype(int), label[inner].astype(int)), 1)
+    k = len(field.keys)
     theta = np.concatenate([field.weights, [field.bias], np.log(field.stay).ravel()])
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    k = len(chosen)
     target = np.bincount(at, label[token], k)
-    for step in range(1, STEPS + 1) if k else ():
+    for step in range(1, STEPS + 1):
         field.weights, field.bias, field.stay = theta[:k], float(theta[k]), np.exp(theta[k + 1 :]).reshape(2, 2)
         marginal, moved = forward_backward(field.potentials(n, token, at), runs, field.stay, field.start)
         grad = np.concatenate([target - np.bincount(at, marginal[token], k) - 0.05 * theta[:k], [label.sum() - marginal.sum()], (seen - moved).ravel() - 0.05 * theta[k + 1 :]])
         mean, var = 0.9 * mean + 0.1 * grad, 0.98 * var + 0.02 * grad**2
         theta = theta + 0.25 * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.98**step)) + 1e-8)
     field.weights, field.bias, field.stay = theta[:k], float(theta[k]), np.exp(theta[k + 1 :]).reshape(2, 2)
-    n, token = whole
-    marginal = field.marginals(field.potentials(n, token, at), whole_first)
-    field.layer = _logistic(document_features(marginal, whole_first), toxic.astype(float), weight / weight.mean())
-    return field
 
 
 def teach(labelled: DataFrame, per_class: int = TEACH) -> Field | None:
@@ -262,7 +307,7 @@ def score(docs: DataFrame, field: Field | None, least: float = 0.5) -> DataFrame
                 scores, spans = np.zeros(n), [[] for _ in range(n)]
                 if field is not None:
                     words, features = token_features(data, offs)
-                    token, at = field.hits(features)
+                    token, at, _ = field.hits(features)
                     marginal = field.marginals(field.potentials(len(features), token, at), words.first)
                     scores = 1 / (1 + np.exp(-np.clip(document_features(marginal, words.first) @ field.layer, -30, 30)))
                     text_of, chars = words.text_of(), np.cumsum((data & 0xC0) != 0x80)
