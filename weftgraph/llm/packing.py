@@ -34,8 +34,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 class Encoder:
     """Token ids of texts, by word.
 
-    No pre-token or special token spans ASCII white space, and none joins an ASCII letter or digit with a stop or comma after
-    it; so a text's ids are those of its words, with such marks at a word's end as words of their own. The tokenizer
+    No pre-token or special token spans ASCII white space, and none joins a letter or digit with marks after it, but for
+    contractions; so a text's ids are those of its words, with marks at a word's end as words of their own. The tokenizer
     ignores case but in special tokens. Words met before are looked up by hash; beyond MOST of them memory starts afresh.
     """
 
@@ -108,23 +108,32 @@ class Encoder:
         return ids, hop[first[1:]] - hop[first[:-1]]
 
 
+#: ASCII marks that neither start a contraction nor stand in a special token.
 _MARK = np.zeros(256, bool)
-_MARK[list(b".,!?;:")] = True
+_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<|>"]] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[c for c in range(128) if chr(c).isalnum()]] = True
+MARKS = 3  # the longest run of marks that is split off
 
 
 def _split_marks(words: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words with a single mark after an ASCII letter or digit at the end split off."""
+    """The words, with a run of marks at the end split off where it follows an ASCII letter or digit, or a letter from U+C0 to U+FF."""
     data, starts, ends = words.data, words.starts, words.ends
-    cut = (ends - starts > 1) & _MARK[data[ends - 1]] & _PLAIN[data[ends - 2]]
+    run = np.zeros(len(starts), np.int64)
+    for k in range(1, MARKS + 2):
+        here = np.maximum(ends - k, 0)
+        run += (run == k - 1) & (ends - starts > k) & _MARK[data[here]]
+    last = ends - run - 1
+    latin = (last > starts) & (data[last] >= 0x80) & (data[last - 1] == 0xC3) & (data[last] != 0x97) & (data[last] != 0xB7)
+    run[(run > MARKS) | ~(_PLAIN[data[last]] | latin)] = 0
+    cut = run > 0
     shift = np.zeros(len(starts) + 1, np.int64)
     np.cumsum(cut, out=shift[1:])
     place = np.arange(len(starts)) + shift[:-1]
     n = len(starts) + int(shift[-1])
     s, e = np.empty(n, np.int64), np.empty(n, np.int64)
-    s[place], e[place] = starts, ends - cut
-    s[place[cut] + 1], e[place[cut] + 1] = ends[cut] - 1, ends[cut]
+    s[place], e[place] = starts, ends - run
+    s[place[cut] + 1], e[place[cut] + 1] = (ends - run)[cut], ends[cut]
     return s, e, words.first + shift[words.first]
 
 
