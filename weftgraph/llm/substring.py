@@ -20,6 +20,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkit as tk
 from .scratch import materialize, shuffled_join
@@ -234,10 +235,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, dige
     told = settled.unionByName(extended).groupBy("k1", "k2").agg(F.collect_set("said").alias("told"))
 
     packed = texts.select("k1", "k2", "row", "text")
-    carried = texts.schema["row"].dataType.simpleString()
-    packed = packed.mapInArrow(_squeeze, f"k1 bigint, k2 bigint, row {carried}, text binary")
+    carried = T.StructField("row", texts.schema["row"].dataType)  # as an object: its names may need quotes in text
+
+    def schema_of(before: str, after: str) -> T.StructType:
+        parsed = [list(T.StructType.fromDDL(x)) if x else [] for x in (before, after)]
+        return T.StructType([*parsed[0], carried, *parsed[1]])
+
+    packed = packed.mapInArrow(_squeeze, schema_of("k1 bigint, k2 bigint", "text binary"))
     asked = shuffled_join(packed, told, ["k1", "k2"], "left").select("k1", "k2", "row", "text", "told")
-    schema = f"own bigint, row {carried}, n_words bigint, n_removed bigint, kept binary, text binary, spans array<int>, gram array<bigint>, window array<bigint>, start array<int>, weight array<int>"
+    schema = schema_of("own bigint", "n_words bigint, n_removed bigint, kept binary, text binary, spans array<int>, gram array<bigint>, window array<bigint>, start array<int>, weight array<int>")
     state = materialize(asked.mapInArrow(_extend(length, seed, digest), schema), "state")
 
     windows = state.filter(F.size("gram") > 0).select("own", F.explode(F.arrays_zip("gram", "window", "start", "weight")).alias("w")).select("own", "w.*")
@@ -249,4 +255,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, seed: int = SEED, dige
     done = ["row", "n_words", "n_removed", "kept", "text", "spans"]
     settled_rows = state.filter(F.col("kept").isNotNull()).select(*done, F.lit(None).cast("array<int>").alias("starts"))
     open_rows = shuffled_join(state.filter(F.col("kept").isNull()).select("own", *done), replies, ["own"], "left").select(*done, "starts")
-    return settled_rows.unionByName(open_rows).mapInArrow(_finish(length, digest), f"row {carried}, n_words bigint, n_removed bigint, kept string")
+    return settled_rows.unionByName(open_rows).mapInArrow(_finish(length, digest), schema_of("", "n_words bigint, n_removed bigint, kept string"))
