@@ -171,7 +171,8 @@ def test_versions_of_nulls_and_no_changes(spark):
     graph.update(Update.on("User", 0).set("age", None).set("name", "b"))
     clock.now = T2
     graph.update(Update.on("User", 0).set("name", "b"))
-    assert graph.versions["User"].count() == 3
+    assert graph.version_counts("User").collect()[0][:] == (0, 3)
+    assert graph.version_at("User", 0, T0).name == "a" and graph.version_at("User", 0, T0 - 1) is None
     got = graph.query(Query.match("u:User").as_of_valid_time(T1).select("u.name", "u.age"))
     assert rows(got) == [("b", None)]
     assert rows(graph.query(Query.match("u:User").as_of_valid_time(T0).select("u.name", "u.age"))) == [("a", 1)]
@@ -183,6 +184,14 @@ def test_without_versions_as_of_reads_the_present(spark):
     assert (99,) in rows(graph.query(Query.match("u:User").as_of_valid_time(T0).select("u.age")))
 
 
+def test_scans(spark):
+    graph = workers(spark)
+    graph.config = Config(chunk_size=4)
+    assert [r.id for r in graph.scan("User").collect()] == list(range(10))
+    assert [len(c) for c in graph.chunks("User")] == [4, 4, 2]
+    assert graph.column_values("Company", "size") == [5000, 50, 10000]
+
+
 def test_lineage_is_cut(spark):
     graph = Graph(spark, Config(checkpoint_every=3))
     graph.create_schema("U", {"n": "int64"})

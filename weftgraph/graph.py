@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import EDGE_FIELDS, Catalog, EdgeType, NodeSchema
@@ -23,7 +23,7 @@ class Config:
     validation: bool = True
     versioning: bool = False
     shard_capacity: int = 100_000
-    chunk_size: int = 10_000  # rows of a Parquet row group, roughly
+    chunk_size: int = 10_000  # rows of a chunk of a scan
     clock: Callable[[], int] = temporal.system_clock  # nanoseconds
     #: Changes of one table after which its lineage is cut by a checkpoint.
     checkpoint_every: int = 8
@@ -125,6 +125,36 @@ class Graph:
             return frame.filter(F.lit(False))
         return frame
 
+    def scan(self, schema: str, valid_time: int | None = None, tx_time: int | None = None) -> DataFrame:
+        """The nodes of a schema in order of id."""
+        return self.node_frame(schema, valid_time, tx_time).orderBy("id")
+
+    def chunks(self, schema: str) -> Iterator[list[Row]]:
+        """The rows of a scan, chunk_size at a time; the driver holds one partition at most."""
+        chunk: list[Row] = []
+        for row in self.scan(schema).toLocalIterator():
+            chunk.append(row)
+            if len(chunk) == self.config.chunk_size:
+                yield chunk
+                chunk = []
+        if chunk:
+            yield chunk
+
+    def column_values(self, schema: str, field: str) -> list:
+        """The values of a field that are not null, in order of id; all of them come to the driver."""
+        self.catalog.node(schema).field(field)
+        return [r[0] for r in self.scan(schema).filter(F.col(field).isNotNull()).select(field).collect()]
+
+    def version_counts(self, schema: str) -> DataFrame:
+        """(id, versions) of a schema whose versions are kept."""
+        if schema not in self.versions:
+            raise NotFound(f"no versions of {schema} are kept")
+        return self.versions[schema].groupBy("id").agg(F.count("*").alias("versions"))
+
+    def version_at(self, schema: str, id: int, valid_time: int | None = None, tx_time: int | None = None) -> Row | None:
+        """One node as of times; None where it is not visible."""
+        return self.node_frame(schema, valid_time, tx_time).filter(F.col("id") == id).first()
+
     def get_node(self, schema: str, id: int):
         row = self.node_frame(schema).filter(F.col("id") == id).first()
         if row is None:
