@@ -1,10 +1,10 @@
 """Every operator and stage on empty tables, nulls everywhere, extra columns and repeated rows."""
 
-import importlib.util
-
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline as p
 from weftgraph.llm import langid, minhash, mixing, packing, quality, quotes, substring, topk, toxicity, urlfilter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -19,8 +19,6 @@ def with_clashes(df):
 
 
 def model():
-    import numpy as np
-
     return ["en"], np.ones((1, langid.DIMENSIONS), np.float32)
 
 
@@ -35,7 +33,7 @@ def operators(spark):
         "near": minhash.near_duplicates,
         "pack": packing.pack,
         "language": lambda d: langid.identify(d, model()),
-        "toxic": lambda d: toxicity.score(d, toxicity.fit(["bad worda", "bad wordb", "good", "fine"], __import__("numpy").array([1, 1, 0, 0]), __import__("numpy").ones(4))),
+        "toxic": lambda d: toxicity.score(d, toxicity.fit(["bad worda", "bad wordb", "good", "fine"], np.array([1, 1, 0, 0]), np.ones(4))),
     }
 
 
@@ -88,10 +86,7 @@ def test_odd_pages_messages_and_vectors(spark):
     assert sorted(tuple(r) for r in two) == [(1, 1, 1, 131072)] * 2
 
 
-@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs corpus_pipeline.py")
 def test_stages(spark, frames):
-    import corpus_pipeline as p
-
     for kind, df in frames.items():
         for name, stage in p.STAGES[:-1]:
             for one in (df, with_clashes(df)) if kind == "odd" else (df,):
@@ -101,10 +96,7 @@ def test_stages(spark, frames):
         assert p.pack_sequences(spark, df, "").count() >= df.count()
 
 
-@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="needs corpus_pipeline.py")
 def test_pipeline(spark):
-    import corpus_pipeline as p
-
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     good = p.keep_good(spark, docs, sf)
