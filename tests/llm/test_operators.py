@@ -163,13 +163,15 @@ def test_toxicity_spans(spark):
         if toxic:
             w.insert(rng.randint(0, len(w)), "Grobx" + rng.choice(["", "en", "ul", "ist", "or,"]))
         data.append((" ".join(w), int(toxic)))
-    field = toxicity.teach(spark.createDataFrame(data[:450], "text string, toxic int"))
+    learn = lambda some, **kw: toxicity.teach(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(some)], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, (_, y) in enumerate(some)], "doc_id long, toxic int"), **kw)
+    field = learn(data[:450])
     held = data[450:] + [("miro grobxani la", 1), ("Grobxula!", 1), ("", 0), (None, 0)]
     got = toxicity.score(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(held)], "doc_id long, text string"), field).toPandas().sort_values("doc_id")
     assert all((s >= 0.7) == bool(y) for s, (_, y) in zip(got.score, held, strict=True)) and got.score.between(0, 1).all()
     for spans, (text, y) in zip(got.spans, held, strict=True):
         assert len(spans) >= y and all("grobx" in text[s["start"] : s["end"]].lower() for s in spans)
-    assert toxicity.teach(spark.createDataFrame(data[1:5], "text string, toxic int")) is None
+    assert learn(data[1:5]) is None and learn(data[:450], training=lambda c: c < 0) is None
+    assert len(learn(data[:450], training=lambda c: c < 200).keys) > 0
     assert toxicity.score(spark.createDataFrame([(1, "x")], "doc_id long, text string"), None).first().score == 0
 
 

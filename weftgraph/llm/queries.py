@@ -36,7 +36,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     held = lambda doc_id: F.coalesce(_held_out(doc_id, 3, 1), F.lit(False))
-    field = toxicity.teach(toxicity.labelled_rows(docs, _table(spark, sf_dir, "labels"), lambda doc_id: ~held(doc_id)))
+    field = toxicity.teach(docs, _table(spark, sf_dir, "labels"), lambda doc_id: ~held(doc_id))
     scored = toxicity.score(docs, field)
     return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("spans").alias("n_spans"))
 

@@ -9,19 +9,18 @@ and through a logistic layer fitted on the documents' labels the document's scor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import broadcast_if_small
 
 STARTS = (4, 5, 6)  # bytes of a word's start that are features
-#: Labelled documents of either class in the sample that fits the model, in expectation; chosen by hash of the text.
+#: Labelled documents of either class in the sample that fits the model, in expectation; chosen by hash of the doc_id.
 TEACH = 2500
 LEAST_DOCS = 4  # toxic documents that a feature must stand in
 LEAST_LIFT = 20.0  # times more frequent in toxic documents than in others
@@ -270,29 +269,30 @@ def _ascend(field: Field, n: int, runs: np.ndarray, token: np.ndarray, at: np.nd
     field.weights, field.bias, field.stay = theta[:k], float(theta[k]), np.exp(theta[k + 1 :]).reshape(2, 2)
 
 
-def teach(labelled: DataFrame, per_class: int = TEACH) -> Field | None:
-    """The field from (text, toxic) rows, about per_class of either class chosen by hash of the text; None without both."""
-    rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
-    counts = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def teach(docs: DataFrame, labels: DataFrame, training: Callable[[Column], Column] | None = None, per_class: int = TEACH) -> Field | None:
+    """The field from documents and their labels (doc_id, toxic); None unless both classes have some.
+
+    training, of a doc_id, says which rows may teach. About per_class labels of either class are chosen by hash of the
+    doc_id, so the sample has one size however many there are, and only its texts are gathered. Labels other than 0 and 1
+    and rows without a doc_id don't teach; of several labels for one document the highest counts, of several rows one.
+    """
+    if training is not None:
+        docs, labels = docs.filter(training(F.col("doc_id"))), labels.filter(training(F.col("doc_id")))
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    counts = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
     share = {k: min(1.0, per_class / counts[k]) for k in (0, 1)}
     limit = F.when(F.col("toxic") == 1, int(2**32 * share[1])).otherwise(int(2**32 * share[0]))
-    sample = rows.filter(F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(2**32)) < limit).toPandas()
-    sample = sample.sort_values(["toxic", "text"], na_position="first")
+    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < limit)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    sample = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).toPandas().sort_values("doc_id")
     if sample["toxic"].nunique() < 2:
         return None
     toxic = sample["toxic"].to_numpy()
     return fit(sample["text"].tolist(), toxic, np.where(toxic == 1, 1 / share[1], 1 / share[0]))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, training) -> DataFrame:
-    """(text, toxic) of the documents with a label that training, a Column over doc_id, lets in; each label counts once."""
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).filter(training(F.col("doc_id")))
-    known = known.select("doc_id", "toxic").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.filter(training(F.col("doc_id"))).select("doc_id", "text").join(broadcast_if_small(known), "doc_id").select("text", "toxic")
-
-
 def score(docs: DataFrame, field: Field | None, least: float = 0.5) -> DataFrame:
     """One row a document: doc_id, score, spans (start and end, in characters, of runs of tokens with a marginal of least or more).
 
