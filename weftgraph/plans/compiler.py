@@ -162,12 +162,23 @@ class Compiler:
             renamed = frame.select(*EDGE_FIELDS, *(F.col(n).alias(f"{c.alias}.{n}") for n in names))
             for expression in pushed.get(c.alias, ()):
                 renamed = renamed.filter(expression.column(self.scope))
-            columns = [f.name for f in kind.fields]
+            columns = self.wanted(c.alias, [f.name for f in kind.fields])
             frame = renamed.select(*EDGE_FIELDS, *(F.col(f"`{c.alias}.{n}`").alias(n) for n in columns))
         frame = hops.without_parallels(frame, columns, kind.unique)
         near, far = ("source_id", "target_id") if near_is_source else ("target_id", "source_id")
         return frame.select(F.col(near).alias(hops.NEAR), F.col(far).alias(hops.FAR), *(F.col(n).alias(f"{c.alias}.{n}") for n in columns))
 
+    def wanted(self, alias: str, fields: list[str]) -> list[str]:
+        """Which properties of an edge are looked at after its hop; the others need not be told apart among parallel edges."""
+        if self.query.items is None or any(i.path == alias for i in self.query.items):
+            return fields
+        paths = [i.path for i in self.query.items]
+        for c in self.query.clauses:
+            if isinstance(c, Where) and len(c.expression.aliases()) > 1:
+                paths += [one.path for one in c.expression.comparisons()]
+        used = {p.split(".")[1] for p in paths if p.startswith(f"{alias}.")}
+        return [f for f in fields if f in used]
+
     def hop(self, rows: DataFrame, c: Traverse, present: set[str], first: bool, pushed: dict[str, list[Expression]]) -> DataFrame:
         source, target = c.source.alias, c.target.alias
         forward = source in present

@@ -80,8 +80,8 @@ class Comparison(Expression):
         return f"{self.path} {self.op} {value}"
 
     def column(self, scope: Resolver) -> Column:
-        """Null equals null and nothing else. An order or text comparison with a null field is null, which no filter lets
-        through; as there is no NOT, that is as good as false, and unlike a coalesce it reaches the scan."""
+        """Null equals null and nothing else. A comparison of a null field with a value is null but for !=, and no filter lets
+        null through; as there is no NOT, that is as good as false, and it reaches the scan as it is."""
         ref = scope.resolve(self.path)
         if self.value is None and self.op not in ("=", "!="):
             raise TypeMismatch(f"{self}: null has no order")
@@ -102,6 +102,8 @@ class Comparison(Expression):
         return getattr(column, ORDERED[self.op])(F.lit(self.value))
 
     def _equal(self, column: Column, value: Column) -> Column:
+        if self.op == "=" and self.value is not None:
+            return column == value
         same = column.eqNullSafe(value)
         return same if self.op == "=" else ~same
 
