@@ -7,6 +7,8 @@ tests, the folder lies under the warehouse. Folders go when the driver's JVM end
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,24 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/weft-{spark.sparkContext.applicationId}"
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 1000
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it, Python gets at most BATCH_ROWS rows at once: texts are long, and a batch stands in memory on both sides."""
+    before = spark.conf.get(BATCH)
+    if 0 < int(before) <= BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(BATCH, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared scratch folder and return it as a table read from there."""
     spark = df.sparkSession
@@ -26,7 +46,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(hadoop).deleteOnExit(folder)
-    df.write.option("compression", "zstd").parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

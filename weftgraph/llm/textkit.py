@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK_BYTES = 2 << 20  # text handled at once; a longer text makes a chunk of its own
+CHUNK_BYTES = 1 << 19  # text handled at once; a longer text makes a chunk of its own
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
