@@ -51,8 +51,32 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.store = np.zeros(0, np.uint32)
+        """Two sorted tables of (key, place, size): a large one, and a small one for what is new, merged into it now and then."""
+        empty = np.zeros(0, np.int64)
+        self.old = self.new = (np.zeros(0, np.uint64), empty, empty)
+        self.store, self.stored = np.zeros(1 << 16, np.uint32), 0
+
+    @staticmethod
+    def _find(table: tuple, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(table[0], keys)
+        inside = at < len(table[0])
+        inside[inside] = table[0][at[inside]] == keys[inside]
+        return at, inside
+
+    @staticmethod
+    def _put(table: tuple, rows: tuple) -> tuple:
+        place = np.searchsorted(table[0], rows[0])
+        return tuple(np.insert(t, place, r) for t, r in zip(table, rows, strict=True))
+
+    def _remember(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        if self.stored + len(ids) > len(self.store):
+            self.store = np.concatenate([self.store[: self.stored], ids, np.zeros(self.stored + len(ids), np.uint32)])
+        self.store[self.stored : self.stored + len(ids)] = ids
+        self.new = self._put(self.new, (keys, self.stored + np.cumsum(sizes) - sizes, sizes))
+        self.stored += len(ids)
+        if len(self.new[0]) > 50_000 + len(self.old[0]) // 8:
+            self.old = self._put(self.old, self.new)
+            self.new = tuple(x[:0] for x in self.new)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -87,21 +111,20 @@ class Encoder:
             special = np.unique(np.searchsorted(starts, special, "right") - 1)
             keys[special] = tk.mix(words.hashes()[special] + tk.U(1))
         keys, one, back = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.keys) + len(keys) > self.MOST:
+        if len(self.old[0]) + len(self.new[0]) + len(keys) > self.MOST:
             self.forget()
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        if new.any():
-            raw = data.tobytes()
-            got, sizes = self.words([raw[a:b].decode() for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)])
-            where = len(self.store) + np.cumsum(sizes) - sizes
-            self.store = np.concatenate([self.store, got])
-            place = at[new]
-            self.keys, self.at, self.size = np.insert(self.keys, place, keys[new]), np.insert(self.at, place, where), np.insert(self.size, place, sizes)
-            at = np.searchsorted(self.keys, keys)
-        at, size = self.at[at][back], self.size[at][back]
+        place, size = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        left = np.arange(len(keys))
+        for table in (self.old, self.new):
+            at, hit = self._find(table, keys[left])
+            place[left[hit]], size[left[hit]] = table[1][at[hit]], table[2][at[hit]]
+            left = left[~hit]
+        if len(left):
+            raw, some = data.tobytes(), one[left]
+            got, sizes = self.words([raw[a:b].decode() for a, b in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            place[left], size[left] = self.stored + np.cumsum(sizes) - sizes, sizes
+            self._remember(keys[left], got, sizes)
+        at, size = place[back], size[back]
         hop = np.zeros(len(size) + 1, np.int64)
         np.cumsum(size, out=hop[1:])
         ids = self.store[np.arange(hop[-1]) + np.repeat(at - hop[:-1], size)]
