@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
@@ -78,6 +79,16 @@ class EdgeType:
 class Catalog:
     nodes: dict[str, NodeSchema] = field(default_factory=dict)
     edges: dict[str, EdgeType] = field(default_factory=dict)
+    #: What registers a schema or edge type when it is first asked for.
+    loaders: dict[str, Callable[[], object]] = field(default_factory=dict)
+
+    def load(self, name: str) -> None:
+        if load := self.loaders.pop(name, None):
+            load()
+
+    def load_all(self) -> None:
+        for name in list(self.loaders):
+            self.load(name)
 
     def add_node_schema(self, name: str, spec) -> NodeSchema:
         """Register a node schema; a name that is taken keeps what it has."""
@@ -98,10 +109,12 @@ class Catalog:
         return self.edges[name]
 
     def node(self, name: str) -> NodeSchema:
+        self.load(name)
         if name not in self.nodes:
             raise NotFound(f"no node schema {name}")
         return self.nodes[name]
 
     def edge(self, name: str) -> EdgeType:
         """An edge type nobody registered has no schema."""
+        self.load(name)
         return self.edges.get(name) or EdgeType(name)

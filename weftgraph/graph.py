@@ -87,6 +87,10 @@ class Graph:
         self.edges[name] = Table(frame.select(*whole, *rest))
         return edge
 
+    def on_demand(self, name: str, load: Callable[[], object]) -> None:
+        """Call load, which registers the schema or edge type of that name, when the name is first asked for."""
+        self.catalog.loaders[name] = load
+
     # Tables
 
     def _flushed(self, table: Table, schema) -> DataFrame:
@@ -179,6 +183,7 @@ class Graph:
 
     def edge_types(self) -> DataFrame:
         """(type, count) of every edge type."""
+        self.catalog.load_all()
         schema = "type string, count bigint"
         out = self.spark.createDataFrame([], schema)
         for name in sorted(self.edges):
@@ -424,9 +429,9 @@ class Graph:
 
     def delete_edges(self, type: str, source: tuple[str, Column] | None = None, target: tuple[str, Column] | None = None, id: int | None = None) -> int:
         """Remove edges of a type: all, by id, or from and to the nodes that selections pick."""
+        frame = self.edge_frame(type)
         if type not in self.edges:
             return 0
-        frame = self.edge_frame(type)
         gone = frame if id is None else frame.filter(F.col("id") == id)
         for side, picked in (("source_id", source), ("target_id", target)):
             if picked is not None:
@@ -454,6 +459,7 @@ class Graph:
         self.nodes[schema].bounds = bounds or None
 
     def compact_all(self) -> None:
+        self.catalog.load_all()
         for schema in self.nodes:
             self.compact(schema)
 

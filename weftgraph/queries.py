@@ -135,7 +135,7 @@ def _update_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_steps("update_edge", "SELECT DISTINCT l_orderkey AS o_id, l_partkey AS p_id, CASE WHEN l_quantity >= 45 THEN 0.0 ELSE l_discount END AS e_discount FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_partkey) AS n FROM lineitem) JOIN orders ON l_orderkey = o_orderkey WHERE n = 1 AND o_totalprice > 250000")
 def _update_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star_graph(spark, sf_dir)
-    single = graph.edges["CONTAINS"].frame
+    single = graph.edge_frame("CONTAINS")
     counts = single.groupBy("source_id", "target_id").count().filter("count = 1").drop("count")
     graph.edges["CONTAINS"].frame = graph._cut(single.drop("id").join(counts, ["source_id", "target_id"], "left_semi").withColumn("id", F.monotonically_increasing_id()).select(*single.columns))
     graph.update(Update.match(Query.match("o:Orders").traverse("o", "CONTAINS", "p:Part", alias="e").where("e.quantity", ">=", 45.0)).set("e.discount", 0.0))
@@ -161,7 +161,7 @@ def _delete_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_steps("delete_edges_from_to", "SELECT c_custkey AS c_id, n_nationkey::BIGINT AS n_id FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE NOT (c_mktsegment = 'BUILDING' AND n_nationkey < 10)")
 def _delete_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star_graph(spark, sf_dir)
-    single = graph.edges["IN_NATION"].frame
+    single = graph.edge_frame("IN_NATION")
     graph.edges["IN_NATION"].frame = single.withColumn("id", F.col("source_id"))
     graph.delete_edges("IN_NATION", ("Customer", F.col("segment") == "BUILDING"), ("Nation", F.col("id") < 10))
     return graph.query(Query.match("c:Customer").traverse("c", "IN_NATION", "n:Nation").select("c.id", "n.id")).df

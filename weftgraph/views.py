@@ -30,20 +30,30 @@ def user_versions(events: DataFrame) -> DataFrame:
 def star_graph(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Graph:
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     graph = Graph(spark, config)
-    nation, customer, supplier, orders, lineitem = map(read, ("nation", "customer", "supplier", "orders", "lineitem"))
-    graph.use_nodes("Region", _nodes(read("region"), "r_regionkey", name="r_name"))
-    graph.use_nodes("Nation", _nodes(nation, "n_nationkey", name="n_name"))
-    graph.use_nodes("Customer", _nodes(customer, "c_custkey", name="c_name", acctbal="c_acctbal", segment="c_mktsegment"))
-    graph.use_nodes("Supplier", _nodes(supplier, "s_suppkey", name="s_name", acctbal="s_acctbal"))
-    graph.use_nodes("Orders", _nodes(orders, "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority"))
-    graph.use_nodes("Part", _nodes(read("part"), "p_partkey", name="p_name", brand="p_brand", size="p_size", retailprice="p_retailprice"))
-    graph.use_edges("IN_REGION", _edges(nation, "n_nationkey", "n_regionkey"), "Nation", "Region", unique=True)
-    graph.use_edges("IN_NATION", _edges(customer, "c_custkey", "c_nationkey"), "Customer", "Nation", unique=True)
-    graph.use_edges("BASED_IN", _edges(supplier, "s_suppkey", "s_nationkey"), "Supplier", "Nation", unique=True)
-    graph.use_edges("PLACED", _edges(orders, "o_custkey", "o_orderkey"), "Customer", "Orders", unique=True)
-    # An item has no id of its own; of parallel items the one that is last in this order counts.
-    graph.use_edges("CONTAINS", lineitem.select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), item_order().alias("id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("returnflag")), "Orders", "Part")
-    graph.use_edges("SUPPLIED_BY", lineitem.select(F.col("l_orderkey").alias("source_id"), F.col("l_suppkey").alias("target_id")), "Orders", "Supplier")
+
+    def nodes(schema: str, table: str, key: str, **fields: str) -> None:
+        graph.on_demand(schema, lambda: graph.use_nodes(schema, _nodes(read(table), key, **fields)))
+
+    def edges(name: str, table: str, source: str, target: str, ends: tuple[str, str], unique: bool = True) -> None:
+        graph.on_demand(name, lambda: graph.use_edges(name, _edges(read(table), source, target), *ends, unique=unique))
+
+    def contains() -> None:
+        # An item has no id of its own; of parallel items the one that is last in this order counts.
+        items = read("lineitem").select(F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), item_order().alias("id"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("extendedprice"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("returnflag"))
+        graph.use_edges("CONTAINS", items, "Orders", "Part")
+
+    nodes("Region", "region", "r_regionkey", name="r_name")
+    nodes("Nation", "nation", "n_nationkey", name="n_name")
+    nodes("Customer", "customer", "c_custkey", name="c_name", acctbal="c_acctbal", segment="c_mktsegment")
+    nodes("Supplier", "supplier", "s_suppkey", name="s_name", acctbal="s_acctbal")
+    nodes("Orders", "orders", "o_orderkey", status="o_orderstatus", totalprice="o_totalprice", priority="o_orderpriority")
+    nodes("Part", "part", "p_partkey", name="p_name", brand="p_brand", size="p_size", retailprice="p_retailprice")
+    edges("IN_REGION", "nation", "n_nationkey", "n_regionkey", ("Nation", "Region"))
+    edges("IN_NATION", "customer", "c_custkey", "c_nationkey", ("Customer", "Nation"))
+    edges("BASED_IN", "supplier", "s_suppkey", "s_nationkey", ("Supplier", "Nation"))
+    edges("PLACED", "orders", "o_custkey", "o_orderkey", ("Customer", "Orders"))
+    edges("SUPPLIED_BY", "lineitem", "l_orderkey", "l_suppkey", ("Orders", "Supplier"), False)
+    graph.on_demand("CONTAINS", contains)
     return graph
 
 
@@ -77,7 +87,11 @@ def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Event nodes with a property map; User nodes with versions."""
     graph = Graph(spark, Config(versioning=True))
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    graph.use_nodes("Event", events.select(F.col("event_id").alias("id"), "user_id", "event_type", "value", maps.from_json(F.col("props")).alias("props")))
-    versions = user_versions(events)
-    graph.use_nodes("User", temporal.as_of(versions, ["event_type", "value"], None, None), versions)
+
+    def users() -> None:
+        versions = user_versions(events)
+        graph.use_nodes("User", temporal.as_of(versions, ["event_type", "value"], None, None), versions)
+
+    graph.on_demand("Event", lambda: graph.use_nodes("Event", events.select(F.col("event_id").alias("id"), "user_id", "event_type", "value", maps.from_json(F.col("props")).alias("props"))))
+    graph.on_demand("User", users)
     return graph
