@@ -67,7 +67,8 @@ def _ruled(rules: tuple[Rule, ...]) -> tuple[Column, Column]:
 def _triples() -> Column:
     kept = F.regexp_replace(F.lower("url"), f"[^{ALPHABET.replace('-', '')}-]", OTHER)
     padded = F.concat(F.lit(START * 2), kept)
-    return F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+    triples = F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substring(padded, i, F.lit(3)))
+    return F.when(F.length("url") > 0, triples).otherwise(F.array().cast("array<string>"))
 
 
 def _model(counts: DataFrame) -> DataFrame:
@@ -80,7 +81,9 @@ def _model(counts: DataFrame) -> DataFrame:
         order1 = (over("bc") + PSEUDO * order0) / (over("b") + PSEUDO)
         order2 = (F.col(k) + PSEUDO * order1) / (over("ab") + PSEUDO)
         logs.append(F.log(order2))
-    return cols.select("gram", (logs[0] - logs[1]).alias("ratio"))
+    total = lambda k: F.sum(k).over(Window.partitionBy())
+    both = (total("allow") > 0) & (total("block") > 0)
+    return cols.select("gram", F.when(both, logs[0] - logs[1]).otherwise(0.0).alias("ratio"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
