@@ -341,6 +341,38 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
 
 
+def families():
+    """Texts of one core, just unlike each other, of which some pairs are alike: no centre is like them."""
+    rng = random.Random(8)
+    core = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        own = core + [f"x{i}_{j}" for j in range(20)]
+        rows.append({"doc_id": 2 * i, "text": " ".join(own)})
+        if i % 2:
+            own[rng.randrange(200, 220)] = f"y{i}"
+            rows.append({"doc_id": 2 * i + 1, "text": " ".join(own)})
+    return rows
+
+
+@pytest.mark.parametrize("group", [minhash.GROUP, 20])
+def test_near_duplicates_unlike_every_centre(spark, monkeypatch, group):
+    monkeypatch.setattr(minhash, "GROUP", group)
+    rows = families()
+    got = minhash.near_duplicates(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")).collect()
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) == 120
+    assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=repr) == want
+
+
+def test_common():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    off = ~np.eye(len(sets), dtype=bool)
+    assert (minhash._common(sets)[off] == np.array(want)[off]).all()
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, x) for x in range(6, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

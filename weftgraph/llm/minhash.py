@@ -2,11 +2,12 @@
 
 A text's set of word shingles is hashed once; the hash range is cut into equal bins and the least hash of each bin
 is the sketch, an empty bin borrowing from a randomly chosen bin that is not empty. Bands of the sketch are bucket
-keys. Texts with equal sets are one class from the start, so copies never meet in a bucket. In a bucket every class
-is joined with one centre only: the class that shares its buckets with the most others, which in a group of
-variants is the one nearest to all of them. Links are confirmed on the full sets. Buckets that then still hold more
-than one component get another centre from outside the first one's component, round by round, until a round finds no
-new link; so the number of pairs follows the number of rows, not its square.
+keys. Texts with equal sets are one class from the start, so copies never meet in a bucket. First every class of a
+bucket is joined with one centre: the class that shares its buckets with the most others, which in a group of
+variants is the one nearest to all of them. Links are confirmed on the full sets. Where the other classes of a bucket
+then still are in more than one component, all of them are compared with each other: the bucket is dealt into groups,
+each two groups meet in one cell, and a cell counts what its sets share by products of 0/1 matrices. So every two
+classes of a bucket are compared or in one component, while the rows follow the classes, not their pairs.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .scratch import materialize, shuffled_join
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 PERCENT = 85
+#: A group of a bucket has about so many classes and shingles at most; a cell has two groups.
+GROUP, GROUP_SHINGLES = 512, 1_000_000
 #: Rows without an id get one above all others, made from the text.
 NO_ID = 1 << 62
 
@@ -126,6 +129,84 @@ def _confirm(shingle: int, percent: int):
     return run
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two different sets share, exactly: sums stay far below 2**24."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    joined = np.concatenate(sets)
+    order = np.argsort(joined, kind="stable")
+    joined, owner = joined[order], owner[order]
+    fresh = np.append(True, joined[1:] != joined[:-1])
+    column = np.cumsum(fresh) - 1
+    often = np.bincount(column) > 1
+    owner, column = owner[often[column]], (np.cumsum(often) - 1)[column[often[column]]]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(often.sum()), 2048):
+        a, b = np.searchsorted(column, [lo, lo + 2048])
+        some = np.zeros((len(sets), 2048), np.float32)
+        some[owner[a:b], column[a:b] - lo] = 1
+        both += some @ some.T
+    return both.astype(np.int64)
+
+
+def _bridges(nodes: np.ndarray, components: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Linked pairs of nodes that join all components which links of these sets join."""
+    both, size = _common(sets), np.array([len(s) for s in sets])
+    linked = np.triu(100 * both >= percent * (size[:, None] + size[None] - both), 1) & (components[:, None] != components[None])
+    parent: dict[int, int] = {}
+    out = []
+    for i, j in np.argwhere(linked):
+        x, y = int(components[i]), int(components[j])
+        while parent.get(x, x) != x:
+            x = parent[x]
+        while parent.get(y, y) != y:
+            y = parent[y]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((int(nodes[i]), int(nodes[j])))
+    return out
+
+
+def _compare(shingle: int, percent: int):
+    """Rows (cell, rep, component, text) come sorted by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            found = _bridges(np.array(nodes), np.array(comps), sets, percent) if len(sets) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
+        cell, nodes, comps, sets = None, [], [], []
+        for batch in batches:
+            cells, reps, component = (batch.column(k).to_pylist() for k in range(3))
+            for i, s in enumerate(shingle_sets(batch.column(3), shingle)):
+                if cells[i] != cell:
+                    yield links()
+                    cell, nodes, comps, sets = cells[i], [], [], []
+                if len(s):
+                    nodes.append(reps[i])
+                    comps.append(component[i])
+                    sets.append(s)
+        yield links()
+
+    return run
+
+
+def _cells(members: DataFrame) -> DataFrame:
+    """(rep, component, cell): each two classes of a bucket meet in a cell, if the bucket has more than one component.
+
+    members (key, rep, n_shingles, component) has a bucket's classes. Of buckets with the same classes one is taken.
+    """
+    totals = members.groupBy("key").agg(
+        F.count("*").alias("n"), F.sum("n_shingles").alias("shingles"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("sum"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    groups = F.ceil(F.greatest(F.col("n") / GROUP, F.col("shingles") / GROUP_SHINGLES)).cast("int")
+    open_ = totals.filter("low < high").groupBy("n", "shingles", "sum").agg(F.min("key").alias("key")).select("key", groups.alias("g"))
+    mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("g")).cast("int")
+    dealt = shuffled_join(members, open_, ["key"]).withColumn("mine", mine)
+    others = F.expr("IF(g = 1, array(0), filter(sequence(0, g - 1), x -> x <> mine))")
+    dealt = dealt.withColumn("other", F.explode(others))
+    return dealt.select("rep", "component", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of the ids in edges (u, v): the least id connected. Alternating large-star and small-star."""
 
@@ -170,43 +251,36 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
 
     same = ["h1", "h2", "n_shingles"]
     classes = materialize(sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("node").alias("rep"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("rep", F.explode("bands").alias("key")).distinct()
+    keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key")).groupBy("rep", "key").agg(F.max("n_shingles").alias("n_shingles"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(shuffled_join(keyed, shared, ["key"]), "members")
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = materialize(shuffled_join(members, weight, ["rep"]).select("key", "rep", "weight"), "weighted")
+    members = materialize(shuffled_join(members, weight, ["rep"]).select("key", "rep", "n_shingles", "weight"), "weighted")
     candidate_texts = materialize(shuffled_join(texts.withColumnRenamed("node", "rep"), weight.select("rep"), ["rep"]), "texts")
 
-    tested = links = comps = None
-    while True:
-        now = members.withColumn("component", F.col("rep"))
-        if comps is not None:
-            now = members.join(comps, members["rep"] == comps["id"], "left").select("key", "rep", "weight", F.coalesce("component", "rep").alias("component"))
-        # A bucket's first centre is its heaviest class. Later ones are the heaviest outside that class's component.
-        heaviest = lambda d, name: d.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"), "component")).alias(name))
-        centres = heaviest(now, "c")
-        if comps is not None:
-            rest = shuffled_join(now, centres, ["key"]).filter("component <> c.component").drop("c")
-            centres = heaviest(rest, "c")
-        pairs = shuffled_join(now, centres, ["key"]).filter("rep <> -c.r AND component <> c.component")
-        pairs = pairs.select((-F.col("c.r")).alias("u"), F.col("rep").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        first = candidate_texts.select(F.col("rep").alias("v"), F.col("text").alias("text_v"))
-        second = candidate_texts.select(F.col("rep").alias("u"), F.col("text").alias("text_u"))
-        both = pairs.join(first.hint("merge"), "v").join(second.hint("merge"), "u").select("u", "v", "text_u", "text_v")
-        found = materialize(both.mapInArrow(_confirm(shingle, percent), "u bigint, v bigint"), "links")
-        if not found.limit(1).count():
-            break
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = found if links is None else links.unionByName(found)
-        comps = materialize(components(links), "components")
+    # A bucket's centre is its heaviest class.
+    centres = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("u"))
+    stars = shuffled_join(members, centres, ["key"]).filter("rep <> u")
+    pairs = materialize(stars.select("u", F.col("rep").alias("v")).distinct(), "pairs")
+    first = candidate_texts.select(F.col("rep").alias("v"), F.col("text").alias("text_v"))
+    second = candidate_texts.select(F.col("rep").alias("u"), F.col("text").alias("text_u"))
+    both = pairs.join(first.hint("merge"), "v").join(second.hint("merge"), "u").select("u", "v", "text_u", "text_v")
+    links = materialize(both.mapInArrow(_confirm(shingle, percent), "u bigint, v bigint"), "links")
+    comps = materialize(components(links), "components")
+
+    # The rest of a bucket, where it is not one component, is compared all with all.
+    rest = stars.select("key", "rep", "n_shingles").join(comps, F.col("rep") == F.col("id"), "left")
+    rest = materialize(rest.select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "rest")
+    cells = materialize(_cells(rest), "cells")
+    meeting = shuffled_join(cells, candidate_texts, ["rep"]).select("cell", "rep", "component", "text")
+    more = meeting.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(shingle, percent), "u bigint, v bigint")
+    more = materialize(more, "links")
+    if more.limit(1).count():
+        comps = materialize(components(links.unionByName(more)), "components")
 
     labels = classes.select(*same, F.col("rep").alias("component"))
-    if comps is not None:
-        labels = labels.join(comps.withColumnRenamed("component", "least"), labels["component"] == F.col("id"), "left")
-        labels = labels.select(*same, F.coalesce("least", "component").alias("component"))
+    labels = labels.join(comps.withColumnRenamed("component", "least"), labels["component"] == F.col("id"), "left")
+    labels = labels.select(*same, F.coalesce("least", "component").alias("component"))
     rowsets = sketches.select("node", *same)
     joined = shuffled_join(rowsets, materialize(labels, "labels"), same, "left")
     component = F.coalesce("component", "node")
