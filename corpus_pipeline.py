@@ -11,6 +11,10 @@ from weftgraph.llm import minhash, mixing, packing, quality, substring
 from weftgraph.llm.scratch import materialize, shuffled_join
 
 
+#: Word shingles of five words and this similarity, in percent, make documents near-duplicates here.
+NEAR_PERCENT = 80
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that pass the quality policy."""
     judged = quality.with_ledger(docs, name="__weft_ledger")
@@ -18,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates. Rows that share a doc_id are one document and stay together."""
-    gone = minhash.near_duplicates(docs).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    """One document of each group of near-duplicates, at NEAR_PERCENT. Rows that share a doc_id are one document and stay together."""
+    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     return shuffled_join(docs, gone, ["doc_id"], "left_anti")
 
 

@@ -12,6 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftgraph.llm import langid, minhash, mixing, packing, quality, quotes, substring, textkit, topk, toxicity, urlfilter
 
 DATA = "/root/testdata/sf0.001"
@@ -365,6 +366,15 @@ def test_near_duplicates_unlike_every_centre(spark, monkeypatch, group):
     assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=repr) == want
 
 
+def test_pipeline_drops_near_duplicates_from_80_percent(spark):
+    rows = [{"doc_id": d, "text": " ".join(f"t{k}_{j}" if j not in changed else f"x{d}" for j in range(100))} for k in range(6) for d, changed in ((2 * k, ()), (2 * k + 1, ((20,), (20, 50), (20, 50, 80))[k % 3]))]
+    real = spark.read.parquet(f"{DATA}/documents.parquet").select((F.col("doc_id") + 100).alias("doc_id"), "text")
+    docs = real.unionByName(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string"))
+    want = brute_components([r.asDict() for r in docs.collect()], 80)
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == {0 if d == -1 else d for d, _, c in want if d == c or d == -1} and 3 not in kept and 5 in kept
+
+
 def test_common():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(9)]
