@@ -13,6 +13,8 @@ from weftgraph.llm.scratch import materialize, shuffled_join
 
 #: Word shingles of five words and this similarity, in percent, make documents near-duplicates here.
 NEAR_PERCENT = 80
+#: Rows without an id get keys from here on, each its own, so that a row with an id stays before them.
+NO_ID_KEY = 1 << 61
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +24,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, at NEAR_PERCENT. Rows that share a doc_id are one document and stay together."""
-    gone = minhash.near_duplicates(docs, percent=NEAR_PERCENT).filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return shuffled_join(docs, gone, ["doc_id"], "left_anti")
+    """One document of each group of near-duplicates, at NEAR_PERCENT.
+
+    Rows that share a doc_id are one document and stay together. A row without one is a document of its own, and goes
+    if its group has a row with a doc_id or another one without.
+    """
+    key = "__weft_key"
+    keyed = docs.withColumn(key, F.col("doc_id").cast("bigint"))
+    if docs.filter("doc_id IS NULL").limit(1).count():
+        loose = docs.filter("doc_id IS NULL").withColumn(key, F.lit(NO_ID_KEY) + F.monotonically_increasing_id())
+        keyed = keyed.filter("doc_id IS NOT NULL").unionByName(materialize(loose, "no_id"))
+    found = minhash.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), percent=NEAR_PERCENT)
+    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias(key)).distinct()
+    return shuffled_join(keyed, gone, [key], "left_anti").drop(key)
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

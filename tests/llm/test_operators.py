@@ -375,6 +375,15 @@ def test_pipeline_drops_near_duplicates_from_80_percent(spark):
     assert kept == {0 if d == -1 else d for d, _, c in want if d == c or d == -1} and 3 not in kept and 5 in kept
 
 
+def test_pipeline_drops_near_duplicates_without_ids(spark):
+    text = lambda k, *changed: " ".join(f"t{k}_{j}" if j not in changed else f"x{j}" for j in range(100))
+    rows = [(None, text(1)), (None, text(1)), (None, text(1, 20)), (7, text(2)), (None, text(2)), (None, text(2, 50)), (8, text(3)), (8, text(3, 40)), (None, text(4)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len([r for r in kept if r[1] and r[1].startswith("t1_")]) == 1
+    assert sorted((r for r in kept if not (r[1] and r[1].startswith("t1_"))), key=repr) == sorted([rows[3], *rows[6:]], key=repr)
+
+
 def test_common():
     rng = np.random.default_rng(3)
     sets = [np.unique(rng.integers(0, 6000, rng.integers(1, 4000)).astype(np.uint64)) for _ in range(9)]
