@@ -431,9 +431,50 @@ def test_pruning_keeps_all_that_reach_the_bound():
         scores = vectors @ q
         for share in (0.3, 0.6, 0.9, 1.0, 1.1):
             bound = scores.max() * share
-            left = topk.survivors(q, np.linalg.norm(q), vectors, sizes, vectors / sizes[:, None], bound)
+            if bound <= 0:
+                continue
+            left = topk.survivors(q, np.linalg.norm(q), sizes, vectors / sizes[:, None], bound)
             assert set(np.flatnonzero(scores >= bound)) <= set(left.tolist())
 
 
+@pytest.mark.parametrize("block,bucket,partitions", [(4096, 512, 8), (100, 64, 3), (7, 2048, 5)])
+def test_top_k_answers_every_query_of_every_block(spark, block, bucket, partitions):
+    """Many blocks over uneven ranges; a third of all rows are copies of one vector."""
+    rng = np.random.default_rng(block)
+    n, most = (12_200, 12_200) if block == 4096 else (1500, 1500)
+    vectors = rng.normal(size=(n, 6)) * np.exp(rng.normal(size=(n, 1)) * rng.choice([0, 2], (n, 1)))
+    vectors[: n // 3] = vectors[0]
+    table = spark.createDataFrame(list(enumerate(vectors.tolist())), "vec_id long, embedding array<double>").repartition(partitions)
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        got = topk.top_k(table, lambda c: c < most, 5, bucket, block).toPandas().sort_values(["query_id", "rank"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    whole = np.floor(vectors * 256)
+    assert len(got) == 5 * n
+    ids, scores = got.vec_id.to_numpy().reshape(n, 5), got.score.to_numpy().reshape(n, 5)
+    for lo in range(0, n, 500):
+        score = whole[lo : lo + 500] @ whole.T
+        score[np.arange(len(score)), np.arange(lo, lo + len(score))] = -np.inf
+        order = np.argsort(-score, axis=1, kind="stable")[:, :5]
+        assert (ids[lo : lo + 500] == order).all()
+        assert (scores[lo : lo + 500] == np.take_along_axis(score, order, 1)).all()
+
+
+def test_top_k_sends_a_bucket_only_where_it_can_serve(spark):
+    buckets = spark.createDataFrame([(i, float(10 - i)) for i in range(10)], "bucket long, longest double")
+    blocks = spark.createDataFrame([(0, 0.0), (1, 5.0), (2, 99.0)], "bucket long, least double")
+    got = sorted((r.block, r.bucket) for r in topk.served(buckets, blocks).collect())
+    assert got == [(0, i) for i in range(10)] + [(1, i) for i in range(6)]
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(2)
+    for top in (100, 2000, 1 << 20, 1 << 28):
+        a, b = rng.integers(-top, top, (7, 9)), rng.integers(-top, top, (5, 6))
+        want = a[:, :6].astype(object) @ b.T.astype(object)
+        assert (topk.products(topk._narrow(a), topk._narrow(b)).astype(np.int64) == want).all()
+
+
 def test_crc_of_pieces():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")

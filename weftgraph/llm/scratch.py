@@ -26,27 +26,27 @@ BATCH_ROWS = 1000
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Within it, Python gets at most BATCH_ROWS rows at once: texts are long, and a batch stands in memory on both sides."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within it, Python gets at most so many rows at once: texts are long, and a batch stands in memory on both sides."""
     before = spark.conf.get(BATCH)
-    if 0 < int(before) <= BATCH_ROWS:
+    if 0 < int(before) <= rows:
         yield
         return
-    spark.conf.set(BATCH, str(BATCH_ROWS))
+    spark.conf.set(BATCH, str(rows))
     try:
         yield
     finally:
         spark.conf.set(BATCH, before)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df to the shared scratch folder and return it as a table read from there."""
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
     folder = jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(hadoop).deleteOnExit(folder)
-    with small_batches(spark):
+    with small_batches(spark, batch_rows):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

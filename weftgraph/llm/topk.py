@@ -1,10 +1,11 @@
 """Exact top-k inner products by norm-bucketed retrieval.
 
-Candidates are dealt into buckets of like length, queries into blocks. A bound on each query's k-th best score comes
-from the longest candidates. Within a bucket a query needs a cosine of at least bound / (its length x the bucket's
-longest): if that exceeds 1 the bucket is skipped; if it is low, only the bucket's prefix of vectors long enough is
-looked at; if it is high, a vector must also lie in the range that the cosine allows in the query's largest coordinates.
-What is left is verified by exact integer products, and each bucket returns k rows a query at most.
+Candidates are dealt into buckets of like length. A first bound on each query's k-th best score comes from the longest
+candidates, and queries are dealt into blocks of like need: the least length with which a candidate can reach the bound.
+A bucket goes only to the blocks that its longest vector can serve. There each query needs a cosine of at least
+bound / (its length x the bucket's longest): above 1 it skips the bucket; if it is low, only the bucket's prefix of
+vectors long enough is looked at; if it is high, a vector must also lie in the range that the cosine allows in the query's
+largest coordinates. What is left is verified by exact integer products, which raise the bounds for the next bucket.
 """
 
 from __future__ import annotations
@@ -16,118 +17,223 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import broadcast_if_small, materialize
 
 SCALE = 256
 BUCKET = 2048  # candidates in a bucket
-BLOCK = 4096  # queries in a block
+BLOCK = 16384  # queries in a block
+VALUES = 1 << 21  # components in a bucket or block: wide vectors make smaller ones
+CELL = 256  # buckets that meet a block in one place, about
 LONGEST = 4096  # candidates that give the first bounds
 COSINE = 0.5  # from here on, coordinates are tried
 FOCUS = 3  # coordinates tried
-EXACT = 2**20  # components below this multiply exactly in floating point
+CHUNK = 256  # queries multiplied at once
+SLACK = 1e-9  # of lengths, for rounding
+
+#: Of a bucket of candidates or a block of queries.
+KINDS = {"bucket": pa.int64(), "longest": pa.float64(), "least": pa.float64(), "own": pa.binary(), "ids": pa.binary(), "wide": pa.int32(), "bits": pa.int32(), "matrix": pa.binary(), "bounds": pa.binary()}
+PACKED = "bucket bigint, longest double, least double, own binary, ids binary, wide int, bits int, matrix binary, bounds binary"
+FOUND = "q_row bigint, query_id bigint, vec_id bigint, score bigint"
+
+
+def _narrow(matrix: np.ndarray) -> np.ndarray:
+    """The same numbers in the narrowest of 16, 32 and 64 bits."""
+    top = max(int(matrix.max(initial=0)), -int(matrix.min(initial=0)))
+    return matrix.astype(np.int16 if top < 1 << 15 else np.int32 if top < 1 << 31 else np.int64)
+
+
+def _sizes(matrix: np.ndarray) -> np.ndarray:
+    return np.sqrt((matrix.astype(np.float64) ** 2).sum(1))
+
+
+def _dense(column: pa.Array) -> np.ndarray:
+    """A column of lists as a matrix, shorter lists filled up with zeros."""
+    flat, offs = column.flatten().to_numpy(), column.offsets.to_numpy()
+    size = np.diff(offs)
+    matrix = np.zeros((len(column), int(size.max(initial=0))), np.int64)
+    matrix[np.repeat(np.arange(len(column)), size), np.arange(len(flat)) - np.repeat(offs[:-1] - offs[0], size)] = flat
+    return matrix
 
 
-def _pack(size: int, bucket: str):
-    """Rows (row, id, vector), as they come, to one row for every size of them, as matrices."""
+def _pack(size: int):
+    """Rows (row, id, v[, bound, need]), as they come, to one row for every size of them: its vectors as a matrix, its length and least need."""
 
-    def flush(rows: list, at: int) -> pa.RecordBatch:
-        wide = max(len(v) for _, _, v in rows)
-        matrix = np.zeros((len(rows), wide), np.int64)
-        for i, (_, _, v) in enumerate(rows):
-            matrix[i, : len(v)] = v
-        longest = float(np.sqrt((matrix.astype(np.float64) ** 2).sum(1).max()))
-        own, ids = (np.array([r[k] for r in rows], np.int64).tobytes() for k in (0, 1))
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([longest]), pa.array([own], pa.binary()), pa.array([ids], pa.binary()), pa.array([wide], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], [bucket, "longest", "own", "ids", "wide", "matrix"])
+    def flush(parts: list, at: int) -> tuple[pa.RecordBatch, list]:
+        wide = max(p[2].shape[1] for p in parts)
+        own, ids, bounds, needs = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 3, 4))
+        matrix = np.concatenate([np.pad(p[2], ((0, 0), (0, wide - p[2].shape[1]))) for p in parts])
+        some = _narrow(matrix[:size])
+        row = [at, float(_sizes(some).max(initial=0)), float(needs[:size].min()), own[:size].tobytes(), ids[:size].tobytes(), wide, some.itemsize * 8, some.tobytes(), bounds[:size].tobytes()]
+        batch = pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(row, KINDS.values(), strict=True)], list(KINDS))
+        return batch, [(own[size:], ids[size:], matrix[size:], bounds[size:], needs[size:])] if len(own) > size else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows: list = []
+        parts: list = []
         at = TaskContext.get().partitionId() << 32
         for batch in batches:
-            flat, offs = batch.column(2).flatten().to_numpy(), batch.column(2).offsets.to_numpy()
-            for i, (row, key) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                rows.append((row, key, flat[offs[i] - offs[0] : offs[i + 1] - offs[0]]))
-                if len(rows) == size:
-                    yield flush(rows, at)
-                    rows, at = [], at + 1
-        if rows:
-            yield flush(rows, at)
+            own, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            more = [batch.column(k).to_numpy() if batch.num_columns > k else np.zeros(len(own)) for k in (3, 4)]
+            if len(own):
+                parts.append((own, ids, _dense(batch.column(2)), *more))
+            while sum(len(p[0]) for p in parts) >= size:
+                made, parts = flush(parts, at)
+                at += 1
+                yield made
+        if parts:
+            yield flush(parts, at)[0]
 
     return run
 
 
-def _matrix(raw: bytes, wide: int, to: int) -> np.ndarray:
-    got = np.frombuffer(raw, np.int64).reshape(-1, wide)
-    return got if wide == to else np.pad(got, ((0, 0), (0, to - wide)))
+def _matrix(raw: bytes, bits: int, wide: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<i{bits // 8}").reshape(-1, wide) if wide else np.zeros((0, 0), np.int16)
 
 
 def products(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    if max(np.abs(queries).max(initial=0), np.abs(vectors).max(initial=0)) < EXACT:
-        return (queries.astype(np.float64) @ vectors.astype(np.float64).T).astype(np.int64)
-    return queries @ vectors.T
-
-
-def survivors(query: np.ndarray, size: float, vectors: np.ndarray, sizes: np.ndarray, units: np.ndarray, bound: float) -> np.ndarray | None:
-    """Which vectors of a bucket (longest first) can reach bound with this query; None: all of them, for all that is known."""
-    if not np.isfinite(bound) or bound <= 0 or not size:
-        return None
-    need = bound / (size * max(sizes[0], 1e-300))
-    if need > 1 + 1e-9:
-        return np.zeros(0, np.int64)
-    prefix = int(np.searchsorted(-sizes, -bound / size * (1 - 1e-9), "right"))
-    if need < COSINE:
-        return np.arange(prefix)
+    """Exact inner products of rows, as floating-point numbers where these are exact. The wider side is cut where the other ends: what is missing is zero."""
+    wide = min(queries.shape[1], vectors.shape[1])
+    queries, vectors = queries[:, :wide], vectors[:, :wide]
+    tops = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (queries, vectors)]
+    most = tops[0] * tops[1] * max(1, wide)
+    if most < 1 << 53:
+        kind = np.float32 if most < 1 << 24 else np.float64
+        return queries.astype(kind) @ vectors.astype(kind).T
+    return queries.astype(np.int64) @ vectors.astype(np.int64).T
+
+
+def survivors(query: np.ndarray, size: float, sizes: np.ndarray, units: np.ndarray, bound: float) -> np.ndarray:
+    """Which vectors of a bucket (longest first, of more than no length) can reach a positive bound with this query."""
+    need = bound / (size * sizes[0])
+    prefix = int(np.searchsorted(-sizes, -bound / size * (1 - SLACK), "right"))
     unit = query / size
     ok = np.ones(prefix, bool)
     for f in np.argsort(-np.abs(unit))[:FOCUS]:
-        middle, room = unit[f] * need, np.sqrt(max(0.0, 1 - need * need) * max(0.0, 1 - unit[f] ** 2)) + 1e-9
+        if f >= units.shape[1]:
+            continue
+        middle, room = unit[f] * need, np.sqrt(max(0.0, 1 - need * need) * max(0.0, 1 - unit[f] ** 2)) + SLACK
         lo = middle - room if unit[f] > -need else -1.0
         hi = middle + room if unit[f] < need else 1.0
         ok &= (units[:prefix, f] >= lo) & (units[:prefix, f] <= hi)
     return np.flatnonzero(ok)
 
 
-def _search(k: int, with_bound: bool):
+class Block:
+    """The queries of a block with their k best so far."""
+
+    def __init__(self, k: int, own: np.ndarray, ids: np.ndarray, matrix: np.ndarray, bounds: np.ndarray):
+        self.k, self.own, self.ids, self.matrix, self.sizes = k, own, ids, matrix, _sizes(matrix)
+        self.bound = bounds.copy()  # a score below it is of no use
+        self.least = np.full(len(own), np.iinfo(np.int64).max)  # nor is one at it with an id above this
+        self.best = [np.zeros(0, np.int64) for _ in range(3)]  # query, vec_id, score
+        self.fresh: list[tuple[np.ndarray, ...]] = []
+        self.waiting = 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.fresh.append((query, ids, score))
+        self.waiting += len(query)
+        if self.waiting > 1 << 18:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.fresh:
+            return
+        query, ids, score = (np.concatenate([b, *(f[i] for f in self.fresh)]) for i, b in enumerate(self.best))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        kept, last = place < self.k, place == self.k - 1
+        at, better = query[last], score[last] >= self.bound[query[last]]
+        self.bound[at[better]], self.least[at[better]] = score[last][better], ids[last][better]
+        self.best, self.fresh, self.waiting = [query[kept], ids[kept], score[kept]], [], 0
+
+    def meet(self, own: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        sizes = _sizes(vectors)
+        order = np.argsort(-sizes, kind="stable")
+        own, ids, vectors, sizes = own[order], ids[order], vectors[order], sizes[order]
+        units = vectors / np.maximum(sizes, 1e-300)[:, None]
+        for lo in range(0, len(self.own), CHUNK):
+            some = np.arange(lo, min(lo + CHUNK, len(self.own)))
+            told = (self.bound[some] > 0) & np.isfinite(self.bound[some])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                shortest = np.where(told, self.bound[some] / self.sizes[some], 0.0)  # a query of no length needs endless ones
+                need = np.where(told, shortest / max(sizes[0], 1e-300), 0.0)
+            some, need, shortest = some[need <= 1 + SLACK], need[need <= 1 + SLACK], shortest[need <= 1 + SLACK]
+            near = need >= COSINE
+            for q in some[near]:
+                at = survivors(self.matrix[q], self.sizes[q], sizes, units, self.bound[q])
+                if len(at):
+                    self._take(np.array([q]), at, own, ids, products(self.matrix[q : q + 1], vectors[at]))
+            some, shortest = some[~near], shortest[~near]
+            if len(some):
+                prefix = int(np.searchsorted(-sizes, -shortest.min() * (1 - SLACK), "right"))
+                self._take(some, np.arange(prefix), own, ids, products(self.matrix[some], vectors[:prefix]))
+        self.settle()
+
+    def _take(self, queries: np.ndarray, at: np.ndarray, own: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        bound = self.bound[queries]
+        if score.dtype == np.int64:  # bounds this large are rounded
+            bound = bound - np.abs(bound) * 2.0**-50
+        q, c = np.nonzero(score >= bound.astype(np.float64 if score.dtype == np.int64 else score.dtype)[:, None])
+        score, query, c = score[q, c].astype(np.int64), queries[q], at[c]
+        good = (own[c] != self.own[query]) & ((score != self.bound[query]) | (ids[c] <= self.least[query]))
+        if good.any():
+            self.add(query[good], ids[c[good]], score[good])
+
+    def result(self) -> pa.RecordBatch:
+        query, ids, score = self.best
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (self.own[query], self.ids[query], ids, score)], ["q_row", "query_id", "vec_id", "score"])
+
+
+def _search(k: int):
+    """Rows (block, cell, bucket, own, ids, wide, bits, matrix, bounds) come sorted by block and cell, the queries of each first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                wide = max(row["q_wide"], row["wide"])
-                queries, vectors = _matrix(row["q_matrix"], row["q_wide"], wide), _matrix(row["matrix"], row["wide"], wide)
-                q_own, q_ids, own, ids = (np.frombuffer(row[c], np.int64) for c in ("q_own", "q_ids", "own", "ids"))
-                bounds = np.frombuffer(row["bounds"], np.float64) if with_bound else np.full(len(q_own), -np.inf)
-                sizes = np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
-                order = np.argsort(-sizes, kind="stable")
-                vectors, sizes, own, ids = vectors[order], sizes[order], own[order], ids[order]
-                units = vectors / np.maximum(sizes, 1e-300)[:, None]
-                q_sizes = np.sqrt((queries.astype(np.float64) ** 2).sum(1))
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for lo in range(0, len(queries), 256):
-                    some = slice(lo, lo + 256)
-                    chosen = [survivors(q, s, vectors, sizes, units, b) for q, s, b in zip(queries[some], q_sizes[some], bounds[some], strict=True)]
-                    whole = [i for i, c in enumerate(chosen) if c is None or len(c) > len(ids) // 4]
-                    dense = dict(zip(whole, products(queries[some][whole], vectors), strict=True)) if whole else {}
-                    for i, c in enumerate(chosen):
-                        at = np.arange(len(ids)) if i in dense else c
-                        if not len(at):
-                            continue
-                        score = dense[i] if i in dense else products(queries[lo + i : lo + i + 1], vectors[at])[0]
-                        good = (own[at] != q_own[lo + i]) & (score >= bounds[lo + i])
-                        at, score = at[good], score[good]
-                        if len(at) > k:  # the k-th best and all that tie with it, before ids decide
-                            good = score >= np.partition(score, len(score) - k)[len(score) - k]
-                            at, score = at[good], score[good]
-                        best = np.lexsort((ids[at], -score))[:k]
-                        n = len(best)
-                        for column, got in zip(out, (np.full(n, q_own[lo + i]), np.full(n, q_ids[lo + i]), ids[at[best]], score[best]), strict=True):
-                            column.append(got)
-                flat = [np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64) for c in out]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in flat], ["q_row", "query_id", "vec_id", "score"])
+                own, ids = (np.frombuffer(row[c], np.int64) for c in ("own", "ids"))
+                matrix = _matrix(row["matrix"], row["bits"], row["wide"]) if row["wide"] else np.zeros((len(own), 1), np.int16)
+                if row["bucket"] is None:
+                    if block is not None:
+                        yield block.result()
+                    now, block = (row["block"], row["cell"]), Block(k, own, ids, matrix, np.frombuffer(row["bounds"], np.float64))
+                elif now == (row["block"], row["cell"]):
+                    block.meet(own, ids, matrix)
+        if block is not None:
+            yield block.result()
 
     return run
 
 
-FOUND = "q_row bigint, query_id bigint, vec_id bigint, score bigint"
+def _bounded(seeds: pa.Table, k: int):
+    """Adds to (row, id, v, square) the bound that the seeds give, and the length that a candidate needs to reach it."""
+    seed_rows, seed_vectors = seeds.column("row").to_numpy(), _dense(seeds.column("v").combine_chunks()) if seeds.num_rows else np.zeros((0, 0), np.int64)
+    seed_vectors = _narrow(seed_vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = batch.column(0).to_numpy(), batch.num_rows
+            bounds = np.full(n, -np.inf)
+            if n and len(seed_rows) >= k:
+                queries = _narrow(_dense(batch.column(2)))
+                for lo in range(0, n, CHUNK):
+                    scores = products(queries[lo : lo + CHUNK], seed_vectors).astype(np.float64)
+                    scores[own[lo : lo + CHUNK, None] == seed_rows[None]] = -np.inf
+                    bounds[lo : lo + CHUNK] = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+            size = np.sqrt(batch.column(3).to_numpy())
+            told = np.isfinite(bounds) & (bounds > 0) & (size > 0)
+            need = np.where(told, bounds / np.maximum(size, 1e-300), 0.0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(bounds), pa.array(need)], ["row", "id", "v", "bound", "need"])
+
+    return run
+
+
+def served(buckets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """buckets with each block that their longest vector can serve: the queries' blocks, two numbers each, against all buckets."""
+    needs = broadcast_if_small(blocks.select(F.col("bucket").alias("block"), F.col("least").alias("_least")))
+    return buckets.drop("least").join(needs, F.col("longest") * (1 + SLACK) >= F.col("_least")).drop("_least")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
@@ -145,45 +251,31 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, bucket: int = BUCKET, block:
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     rows = rows.select(F.col("vec_id").cast("bigint").alias("id"), whole.alias("v")).withColumn("square", square)
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    packed = "longest double, own binary, ids binary, wide int, matrix binary"
+    wide = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    bucket, block = (max(1, min(n, VALUES // wide)) for n in (bucket, block))
 
+    # The first bounds: LONGEST candidates, a fixed number, against every query.
     by_length = [F.col("square").desc(), F.col("row")]  # the row breaks ties, so that like lengths spread evenly
-    buckets = rows.repartitionByRange(*by_length).sortWithinPartitions(*by_length).select("row", "id", "v").mapInArrow(_pack(bucket, "bucket"), f"bucket bigint, {packed}")
-    buckets = materialize(buckets, "buckets")
-    asked = rows.filter(is_query(F.col("id")))
-    n_blocks = max(1, -(-asked.count() // block))
-    blocks = asked.repartitionByRange(n_blocks, *by_length).select("row", "id", "v").mapInArrow(_pack(block, "block"), f"block bigint, {packed}")
-    blocks = blocks.select(F.col("block"), *(F.col(c).alias(f"q_{c}") for c in ("own", "ids", "wide", "matrix")))
+    seeds = rows.select("row", "v", "square").orderBy(*by_length).limit(max(k, min(LONGEST, VALUES // wide))).select("row", "v").toArrow()
+    asked = rows.filter(is_query(F.col("id"))).select("row", "id", "v", "square")
+    asked = materialize(asked.mapInArrow(_bounded(seeds, k), "row bigint, id bigint, v array<bigint>, bound double, need double"), "asked")
 
-    # The first bounds: LONGEST candidates, a fixed number, against every block.
-    seeds = rows.orderBy(*by_length).limit(LONGEST).select("row", "id", "v").coalesce(1).mapInArrow(_pack(LONGEST, "seed"), f"seed bigint, {packed}").toPandas()
+    buckets = rows.repartitionByRange(*by_length).sortWithinPartitions(*by_length)
+    buckets = materialize(buckets.select("row", "id", "v").mapInArrow(_pack(bucket), PACKED), "buckets")
+    # Blocks are made of queries with like needs. A partition's last block may be short, so the table written says which there are.
+    by_need = [F.col("need"), F.col("row")]
+    blocks = asked.repartitionByRange(max(1, asked.count() // block), *by_need).sortWithinPartitions(*by_need)
+    blocks = materialize(blocks.select("row", "id", "v", "bound", "need").mapInArrow(_pack(block), PACKED), "blocks")
 
-    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                q_own = np.frombuffer(row["q_own"], np.int64)
-                bounds = np.full(len(q_own), -np.inf)
-                if len(seeds):
-                    wide = max(row["q_wide"], int(seeds["wide"][0]))
-                    queries, vecs = _matrix(row["q_matrix"], row["q_wide"], wide), _matrix(seeds["matrix"][0], int(seeds["wide"][0]), wide)
-                    own = np.frombuffer(seeds["own"][0], np.int64)
-                    for lo in range(0, len(queries), 256):
-                        scores = products(queries[lo : lo + 256], vecs).astype(np.float64)
-                        scores[q_own[lo : lo + 256, None] == own[None]] = -np.inf
-                        if scores.shape[1] >= k:
-                            bounds[lo : lo + 256] = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
-                row["bounds"] = bounds.tobytes()
-                yield pa.RecordBatch.from_pylist([row], pa.schema([("block", pa.int64()), ("q_own", pa.binary()), ("q_ids", pa.binary()), ("q_wide", pa.int32()), ("q_matrix", pa.binary()), ("bounds", pa.binary())]))
-
-    blocks = materialize(blocks.mapInArrow(bounded, "block bigint, q_own binary, q_ids binary, q_wide int, q_matrix binary, bounds binary"), "blocks")
-
-    # Every block meets every bucket once, over block and salt: each block has a copy a salt, each bucket a copy a block.
-    salts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // n_blocks)
-    ids = blocks.select("block").distinct()
-    numbered = ids.withColumn("b", F.row_number().over(Window.orderBy("block")) - 1)  # one row a block of 4096 queries
-    blocks = blocks.join(F.broadcast(numbered), "block").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = buckets.withColumn("salt", F.pmod(F.xxhash64("bucket"), F.lit(salts)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    met = dealt.join(blocks.drop("block").hint("merge"), ["b", "salt"])
-    found = met.select("own", "ids", "wide", "matrix", "q_own", "q_ids", "q_wide", "q_matrix", "bounds").mapInArrow(_search(k, True), FOUND)
+    # A bucket has a copy for each block that it can serve, a block a copy for each cell; in a cell the block is read first.
+    n_buckets, n_blocks = buckets.count(), blocks.count()
+    spread = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // max(1, n_blocks)
+    cells = max(1, min(n_buckets, max(spread, -(-n_buckets // CELL))))
+    dealt = served(buckets, blocks).withColumn("cell", F.pmod(F.xxhash64("bucket"), F.lit(cells)).cast("int"))
+    asking = blocks.withColumnRenamed("bucket", "block").withColumns({"bucket": F.lit(None).cast("bigint"), "cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))})
+    columns = ["block", "cell", "bucket", "longest", "own", "ids", "wide", "bits", "matrix", "bounds"]
+    met = dealt.select(columns).unionByName(asking.select(columns)).repartition("block", "cell")
+    met = met.sortWithinPartitions("block", "cell", F.col("bucket").isNotNull(), F.col("longest").desc())
+    found = materialize(met.mapInArrow(_search(k), FOUND), "found", 64)
     best = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("vec_id"))
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
