@@ -236,11 +236,45 @@ def test_language(spark):
     assert all(r.lang_pred == "und" and r.score == 0 for r in odd)
 
 
+def quoted_talks():
+    """Messages that quote earlier ones: whole, wrapped anew, in part, and quotes of quotes."""
+    rng = random.Random(11)
+    out = []
+    for conv in range(25):
+        own = []
+        for turn in range(rng.randint(1, 9)):
+            body = ["\n".join(" ".join(rng.choice(["wort", "mot", "Word", "ÉTÉ", "x1"]) + str(rng.randrange(9)) for _ in range(rng.randint(1, 7))) + rng.choice([".", "!", "", "?"]) for _ in range(rng.randint(1, 3))) for _ in range(rng.randint(1, 3))]
+            text = []
+            for _ in range(rng.choice([0, 0, 1, 2]) if own else 0):
+                passage = rng.choice(rng.choice(own))
+                words_, level = passage.split(), rng.choice([1, 1, 2, 3])
+                lines = {0: passage.split("\n"), 1: [" ".join(words_[i : i + 4]) for i in range(0, len(words_), 4)], 2: passage.split("\n")[:1], 3: ["never said before"]}[rng.randrange(4)]
+                text += [rng.choice(["On Monday Bot wrote:", "well"])] + [rng.choice([">", "> ", "\t>"]) * level + x.upper() for x in lines] + [rng.choice(["", ">", "  "])]
+            out.append((conv, turn, rng.choice(["user", None]), "\n".join([*text, *"\n\n".join(body).split("\n")])))
+            own.append(body)
+    return out + [out[3], (None, 1, "user", "> x"), (4, None, "user", "> x"), (5, 90, None, None), (5, 91, "user", "")]
+
+
+def test_quotes_equal_their_sql(spark):
+    from weftgraph.llm.sql import QUOTES
+
+    talks = quoted_talks()
+    got = quotes.link(spark.createDataFrame(talks, "conv_id long, turn long, role string, text string").repartition(3))
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", talks)
+    want = db.sql(QUOTES)
+    assert got.filter("reply_to IS NOT NULL").count() > 20 and got.filter("thread <> reply_to").count() > 5
+    assert sorted(map(repr, map(tuple, got.select(want.columns).collect()))) == sorted(map(repr, want.fetchall()))
+
+
 def test_quotes(spark):
     turns = [
-        (1, 0, "user", "How do I bake bread?\nI have flour."), (1, 1, "assistant", "Use yeast.\nKnead well."),
+        (1, 0, "user", "How do I bake bread?\nI have flour."), (1, 1, "assistant", "Use yeast.\nKnead well, and for a long time,\nuntil it is smooth"),
         (1, 2, "user", "On Monday Bot wrote:\n> Use   YEAST.\n>> How do I bake bread?\nWhich yeast?"), (1, 3, "assistant", "> I have flour.\nGood flour."),
-        (1, 4, "user", "> Which yeast?\n> unknown line\nTell me."), (2, 0, "user", "> Use yeast.\nalone"), (1, 1, "assistant", "Use yeast.\nKnead well."), (None, 0, "user", "> Use yeast."), (3, None, None, None), (3, 1, "user", ""),
+        (1, 4, "user", "> Which yeast?\n\n> unknown line\nTell me."), (1, 5, "user", "> use yeast. knead well,\n> and for a long time, until\n> it is smooth\nHow long?"),
+        (2, 0, "user", "> Use yeast.\nalone"), (1, 1, "assistant", "Use yeast.\nKnead well, and for a long time,\nuntil it is smooth"), (None, 0, "user", "> Use yeast."), (3, None, None, None), (3, 1, "user", ""),
+        (4, 0, "user", ">" * 1_000_000 + " deep"), (4, 1, "user", "> " * 300_000), (4, 2, "user", "a\n" * 100_000),
     ]
     got = quotes.link(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
     assert len(got) == len(turns)
@@ -249,9 +283,11 @@ def test_quotes(spark):
     assert see(1, 0) == (None, 0, 0, 0, 0, "How do I bake bread?\nI have flour.")
     assert see(1, 2) == (1, 1, 2, 2, 2, "Which yeast?")
     assert see(1, 3) == (0, 0, 1, 1, 1, "Good flour.")
-    assert see(1, 4) == (2, 1, 2, 1, 1, "Tell me.")
+    assert see(1, 4) == (2, 1, 2, 1, 1, "\nTell me.")
+    assert see(1, 5) == (1, 1, 1, 1, 1, "How long?")  # wrapped anew
     assert see(2, 0) == (None, 0, 1, 0, 1, "alone")
     assert see(None, 0)[:2] == (None, 0) and see(3, None) == (None, None, 0, 0, 0, None) and see(3, 1)[-1] == ""
+    assert see(4, 0)[2:] == (1, 0, 1_000_000, "") and see(4, 1)[2:] == (0, 0, 300_000, "") and len(see(4, 2)[-1]) == 200_000
 
 
 def test_packing(docs, rows):

@@ -55,10 +55,14 @@ def materialize(df: DataFrame, label: str, batch_rows: int = BATCH_ROWS) -> Data
 BROADCAST_ROWS = 200_000
 
 
+def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a count shows df to have limit rows at most."""
+    return df.limit(limit + 1).count() <= limit
+
+
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if a count shows it to be small; otherwise as it is, to be joined by a shuffle."""
-    n = df.limit(limit + 1).count()
-    return F.broadcast(df) if n <= limit else df
+    return F.broadcast(df) if small(df, limit) else df
 
 
 def shuffled_join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

@@ -56,19 +56,31 @@ SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = com
 QUOTES = r"""
 WITH RECURSIVE messages AS (SELECT row_number() OVER () AS rid, conv_id, turn, role, text, string_split(coalesce(text, ''), chr(10)) AS ls FROM conversations),
 raw AS (SELECT rid, conv_id, turn, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM messages),
-marked AS (SELECT *, len(regexp_replace(regexp_extract(x, '^\s*((?:>[ \t]?)*)', 1), '[^>]', '', 'g')) AS level FROM raw),
-bodies AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(x, '^\s*((?:>[ \t]?)*)', '') ELSE x END AS body FROM marked),
-lines AS (SELECT *, nullif(trim(regexp_replace(lower(body), '\s+', ' ', 'g')), '') AS h, lead(level) OVER (PARTITION BY rid ORDER BY i) AS next_level FROM bodies),
+marked AS (SELECT *, len(regexp_replace(regexp_extract(x, '^[ \t]*(>[> \t]*)', 1), '[ \t]', '', 'g')) AS level FROM raw),
+bodies AS (SELECT *, CASE WHEN level > 0 THEN regexp_replace(x, '^[ \t]*>[> \t]*', '') ELSE x END AS body FROM marked),
+normal AS (SELECT *, trim(regexp_replace(lower(body), '[\x00-\x20]+', ' ', 'g')) AS norm FROM bodies),
+lines AS (
+  SELECT *, lead(level) OVER o AS next_level, norm <> '' AND NOT coalesce(lag(level) OVER o = level AND lag(norm) OVER o <> '', false) AS fresh
+  FROM normal WINDOW o AS (PARTITION BY rid ORDER BY i)),
+numbered AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY rid ORDER BY i) AS p FROM lines),
+passages AS (SELECT rid, conv_id, turn, level, p, string_agg(norm, ' ' ORDER BY i) AS passage FROM numbered WHERE norm <> '' GROUP BY ALL),
+units AS (
+  SELECT rid, conv_id, turn, level, passage, unnest(list_append(list_filter(list_transform(regexp_extract_all(passage, '[^.!?]+[.!?]*'), lambda s: trim(s)), lambda s: s <> ''), passage)) AS u FROM passages
+  UNION ALL SELECT rid, conv_id, turn, level, NULL, norm FROM normal WHERE norm <> ''),
 kept AS (SELECT rid, trim(string_agg(body, chr(10) ORDER BY i)) AS body FROM lines WHERE level = 0 AND NOT (regexp_matches(x, '(?i)^\s*(on\b.*\bwrote|.*\b(wrote|writes|said)):\s*$') AND coalesce(next_level > 0, false)) GROUP BY rid),
-counted AS (SELECT rid, count(*) FILTER (level > 0 AND h IS NOT NULL) AS n_quoted, max(level) AS depth FROM lines GROUP BY rid),
-asked AS (SELECT conv_id, turn, level, h, count(*) AS n FROM lines WHERE level > 0 AND h IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
-origins AS (SELECT conv_id, h, min(turn) AS origin FROM lines WHERE level = 0 AND h IS NOT NULL GROUP BY ALL),
-votes AS (SELECT conv_id, turn, level, origin, sum(n) AS n FROM asked JOIN origins USING (conv_id, h) WHERE origin < turn GROUP BY ALL),
-answers AS (SELECT conv_id, turn, arg_min(origin, [level, -n, -origin]) AS reply_to, sum(n)::BIGINT AS n_linked FROM votes GROUP BY ALL),
+depths AS (SELECT rid, max(level) AS depth FROM lines GROUP BY rid),
+counted AS (SELECT rid, count(*) AS n_quoted FROM passages WHERE level > 0 GROUP BY rid),
+asked AS (SELECT DISTINCT conv_id, turn, level, passage, u FROM units WHERE level > 0 AND conv_id IS NOT NULL AND turn IS NOT NULL),
+origins AS (SELECT conv_id, u, min(turn) AS origin FROM units WHERE level = 0 GROUP BY ALL),
+found AS (SELECT * FROM asked JOIN origins USING (conv_id, u) WHERE origin < turn),
+votes AS (SELECT conv_id, turn, level, origin, count(*) AS n FROM found GROUP BY ALL),
+linked AS (SELECT conv_id, turn, count(DISTINCT passage) AS n_linked FROM found GROUP BY ALL),
+answers AS (SELECT conv_id, turn, arg_min(origin, [level, -n, -origin]) AS reply_to FROM votes GROUP BY ALL),
 roots AS (
   SELECT conv_id, turn, reply_to AS up FROM answers
   UNION ALL SELECT roots.conv_id, roots.turn, answers.reply_to FROM roots JOIN answers ON roots.conv_id = answers.conv_id AND roots.up = answers.turn),
 threads AS (SELECT conv_id, turn, min(up) AS thread FROM roots GROUP BY ALL)
-SELECT m.conv_id, m.turn, m.role, reply_to, coalesce(thread, m.turn) AS thread, n_quoted, coalesce(n_linked, 0) AS n_linked, depth, CASE WHEN m.text IS NOT NULL THEN coalesce(kept.body, '') END AS text
-FROM messages m JOIN counted USING (rid) LEFT JOIN kept USING (rid)
-LEFT JOIN answers ON m.conv_id = answers.conv_id AND m.turn = answers.turn LEFT JOIN threads ON m.conv_id = threads.conv_id AND m.turn = threads.turn"""
+SELECT m.conv_id, m.turn, m.role, reply_to, coalesce(thread, m.turn) AS thread, coalesce(n_quoted, 0) AS n_quoted, coalesce(n_linked, 0) AS n_linked, depth, CASE WHEN m.text IS NOT NULL THEN coalesce(kept.body, '') END AS text
+FROM messages m JOIN depths USING (rid) LEFT JOIN counted USING (rid) LEFT JOIN kept USING (rid)
+LEFT JOIN answers ON m.conv_id = answers.conv_id AND m.turn = answers.turn LEFT JOIN linked ON m.conv_id = linked.conv_id AND m.turn = linked.turn
+LEFT JOIN threads ON m.conv_id = threads.conv_id AND m.turn = threads.turn"""
