@@ -203,6 +203,59 @@ def test_url_model_tells_classes_apart(spark):
     assert len(got) == 100 and right >= 0.95
 
 
+def brute_url_scores(rows, held):
+    """Scores of all URLs from rows of (url, ruled): counts in dicts, the recursion character by character."""
+    pad, counts, after = "\x02" * urlfilter.ORDER, {k: Counter() for k in ("allow", "block")}, {k: defaultdict(set) for k in ("allow", "block")}
+    totals, letters = Counter(), {c for url, _ in rows for c in url.lower()}
+    for url, ruled in rows:
+        if ruled is None or held(url):
+            continue
+        text = pad + url.lower()
+        for i in range(urlfilter.ORDER, len(text)):
+            for order in range(urlfilter.ORDER + 1):
+                context = text[i - order : i]
+                counts[ruled][context, text[i]] += 1
+                after[ruled][context].add(text[i])
+    for k in counts:
+        for (context, _), n in counts[k].items():
+            totals[k, context] += n
+
+    def probability(k, context, c):
+        if not context:
+            return (counts[k]["", c] + 1) / (totals[k, ""] + len(letters))
+        lower = probability(k, context[1:], c)
+        n, kinds = totals[k, context], len(after[k][context])
+        return lower if n < urlfilter.EVIDENCE else (counts[k][context, c] + kinds * lower) / (n + kinds)
+
+    def score(url):
+        text = pad + url.lower()
+        ratios = [np.log(probability("allow", text[i - urlfilter.ORDER : i], text[i])) - np.log(probability("block", text[i - urlfilter.ORDER : i], text[i])) for i in range(urlfilter.ORDER, len(text))]
+        return float(np.mean(ratios)) if ratios else 0.0
+
+    return score
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_url_scores_and_verdicts_equal_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:  # the model is joined by a shuffle, but for its hot grams
+        monkeypatch.setattr(urlfilter, "small", lambda df: False)
+    urls = [r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect()][:150] + ["http://é日本🙂.zz/пример/Ω", "no rule", "", "http://" + "long" * 300 + ".zz/"]
+    got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).toPandas().sort_values("page_id")
+    ruled = [None if pd.isna(r) else v for r, v in zip(got.rule, got.verdict, strict=True)]
+    held = lambda url: zlib.crc32(url.encode()) % urlfilter.HELD == 0
+    score = brute_url_scores(list(zip(urls, ruled, strict=True)), held)
+    want = np.array([round(score(u), 9) for u in urls])
+    free = got.rule.isna().to_numpy()
+    assert free.sum() > 20 and np.allclose(got.score.to_numpy()[free], want[free], atol=2e-9) and got.score[~free].isna().all()
+    known = [(want[i], ruled[i]) for i in range(len(urls)) if ruled[i] and held(urls[i])]
+    assert {k for _, k in known} == {"allow", "block"}
+    least, most = (f(s for s, v in zip(want[free], got.verdict[free]) if v == k) for f, k in ((min, "allow"), (max, "block")))
+    assert most < least  # one cut
+    share = lambda cut: sum(np.mean([(s >= cut) == (k == "allow") for s, k in known if k == kind]) for kind in ("allow", "block"))
+    width = (max(s for s, _ in known) - min(s for s, _ in known)) / urlfilter.STEPS
+    assert max(share(c) for c in np.linspace(most, least, 50)) >= max(share(s) for s, _ in known) - 2 / len(known) or least - most < width
+
+
 @pytest.mark.parametrize("length,seed", [(35, 5), (6, 2), (4, 4)])
 def test_substring(spark, docs, rows, length, seed):
     if length < 10:  # few words, so that repeats overlap in every way
