@@ -22,6 +22,13 @@ def model():
     return ["en"], np.ones((1, langid.DIMENSIONS), np.float32)
 
 
+def field():
+    """A field in which the word w7 is toxic."""
+    _, features = toxicity.token_features(np.frombuffer(b"w7", np.uint8), np.array([0, 2]))
+    keys = features[0, :1]
+    return toxicity.Field(keys, np.array([[9.0, 0], [0.5, 0], [0.5, 0]]), -5.0, np.array([[0.9, 0.1], [0.5, 0.5]]), np.array([0.9, 0.1]), np.array([1.0, 1, 0, 0]))
+
+
 def operators(spark):
     return {
         "mix": lambda d: mixing.Mix(d).table(),
@@ -33,7 +40,7 @@ def operators(spark):
         "near": minhash.near_duplicates,
         "pack": packing.pack,
         "language": lambda d: langid.identify(d, model()),
-        "toxic": lambda d: toxicity.score(d, toxicity.fit(["bad worda", "bad wordb", "good", "fine"], np.array([1, 1, 0, 0]), np.ones(4))),
+        "toxic": lambda d: toxicity.score(d, field()),
     }
 
 
@@ -69,6 +76,22 @@ def test_null_texts_pack_as_one_token(frames):
     assert {(r.start, r.length, r.doc_tokens) for r in packing.pack(frames["nulls"]).collect()} == {(0, 1, 1)}
 
 
+def test_teaching_from_odd_tables(spark, frames):
+    labels = "doc_id long, quality int, toxic int"
+    some = spark.createDataFrame([(1, None, 1), (2, 0, 0), (2, 0, 1), (3, 1, 0), (5, None, 0), (None, 1, 1), (4, 1, None), (6, 1, 7)], labels)
+    none, nulls = spark.createDataFrame([], labels), spark.createDataFrame([(None, None, None)] * 2, labels)
+    for kind, docs in frames.items():
+        for known in (none, nulls, some):
+            got = toxicity.teach(docs, known)
+            assert (got is not None) == (kind == "odd" and known is some), kind
+            assert toxicity.score(docs, got).filter("score < 0 OR score > 1 OR score IS NULL").count() == 0
+        names, prototypes = langid.teach(docs)
+        assert names == {"odd": ["en"], "one": []}.get(kind, []) or kind == "odd" and set(names) <= {"en", "xx"}
+        assert len(prototypes) == len(names) and langid.identify(docs, (names, prototypes)).count() == docs.count()
+    extra = with_clashes(frames["odd"])
+    assert np.array_equal(toxicity.teach(extra, some).layer, toxicity.teach(frames["odd"], some).layer)
+
+
 def test_odd_pages_messages_and_vectors(spark):
     pages = "page_id long, url string, html string"
     assert urlfilter.judge(spark.createDataFrame([], pages)).count() == 0

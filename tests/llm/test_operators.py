@@ -1,6 +1,7 @@
 """Each operator against a brute-force version."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -154,6 +155,153 @@ def test_forward_backward():
     assert np.allclose(marginal, want) and np.allclose(moved, pairs)
 
 
+def brute_tokens(text):
+    """(start, end) in bytes and (word, starts) of each token, by characters."""
+    data = text.encode()
+    out, at, run = [], 0, None
+    for c in text + " ":
+        n = len(c.encode())
+        wide = 0x3000 <= ord(c) <= 0x9FFF
+        part = c.isascii() and not c.isalnum() or 0x2000 <= ord(c) <= 0x207F
+        if run is not None and (part or wide):
+            out.append((run, at, False))
+            run = None
+        if wide:
+            out.append((at, at + n, True))
+        elif not part and run is None:
+            run = at
+        at += n
+    fold = lambda b: bytes(x + 32 if 65 <= x <= 90 else x for x in b)
+    tokens = []
+    for i, (a, b, wide) in enumerate(out):
+        if wide:
+            both = i + 1 < len(out) and out[i + 1][0] == b and out[i + 1][2]
+            starts = (None, None, data[a : b + 3] if both else None)
+        else:
+            starts = tuple(fold(data[a : a + s]) if b - a >= s else None for s in toxicity.STARTS)
+        tokens.append((a, b, fold(data[a:b]), *starts))
+    return tokens
+
+
+ODD_TEXTS = ["", "One, two-three...FOUR", "x" * 300 + " " + "x" * 299 + "y", "«é» ünï “quoted” a–b", "日本語のテキスト abc 語", "a", " \t\n", "don't (((stop)))", "語", "日本", "🙂🙂 smile", "wort wort wörter"]
+
+
+def test_tokens_and_features_equal_brute_force():
+    data = "".join(ODD_TEXTS).encode()
+    offs = np.cumsum([0, *(len(t.encode()) for t in ODD_TEXTS)])
+    words, features = toxicity.token_features(np.frombuffer(data, np.uint8), offs)
+    known = {}
+    for i, text in enumerate(ODD_TEXTS):
+        want = brute_tokens(text)
+        at = slice(words.first[i], words.first[i + 1])
+        assert [(a - offs[i], b - offs[i]) for a, b in zip(words.starts[at], words.ends[at])] == [t[:2] for t in want], text
+        for got, token in zip(features[at], want, strict=True):
+            for kind, (value, piece) in enumerate(zip(got, token[2:], strict=True)):
+                assert (value == 0) == (piece is None)
+                if piece is not None:
+                    assert known.setdefault((kind, piece), value) == value
+    assert len(set(known.values())) == len(known)
+
+
+def random_field(rng, keys):
+    return toxicity.Field(keys, np.append(rng.normal(size=(3, len(keys))), np.zeros((3, 1)), 1), -1.0, np.array([[0.8, 0.3], [0.2, 0.9]]), np.array([0.7, 0.3]), rng.normal(size=4))
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(5)
+    first, k = np.array([0, 4, 4, 9]), 6
+    field = random_field(rng, np.arange(1, k + 1, dtype=np.uint64))
+    at, label = rng.integers(-1, k, (9, toxicity.KINDS)).astype(np.int32), rng.integers(0, 2, 9).astype(float)
+
+    def likelihood():
+        p, total = field.potentials(at, first), 0.0
+        for a, b in zip(first, first[1:]):
+            if b > a:
+                path = lambda states: np.prod([(field.start[s] if i == 0 else field.stay[states[i - 1], s]) * np.exp(p[a + i] * s) for i, s in enumerate(states)])
+                total += np.log(path(label[a:b].astype(int))) - np.log(sum(path(x) for x in itertools.product((0, 1), repeat=b - a)))
+        return total
+
+    weights, bias, moves = toxicity.gradient(field, at, first, label)
+    step = 1e-5
+    for index in itertools.product(range(3), range(k)):
+        field.weights[index] += step
+        up = likelihood()
+        field.weights[index] -= 2 * step
+        assert abs((up - likelihood()) / (2 * step) - weights[index]) < 1e-5
+        field.weights[index] += step
+    for s, t in itertools.product((0, 1), repeat=2):
+        before = field.stay[s, t]
+        field.stay[s, t] = before * np.exp(step)
+        up = likelihood()
+        field.stay[s, t] = before * np.exp(-step)
+        assert abs((up - likelihood()) / (2 * step) - moves[s, t]) < 1e-5
+        field.stay[s, t] = before
+    field.bias += step
+    up = likelihood()
+    field.bias -= 2 * step
+    assert abs((up - likelihood()) / (2 * step) - bias) < 1e-5
+
+
+def test_scores_and_spans_equal_brute_force(spark):
+    """All states of a text are walked one after the other, with weights by feature."""
+    data = "".join(ODD_TEXTS).encode()
+    _, features = toxicity.token_features(np.frombuffer(data, np.uint8), np.cumsum([0, *(len(t.encode()) for t in ODD_TEXTS)]))
+    field = random_field(np.random.default_rng(6), np.unique(features[features != 0])[::2])
+    field.keys = np.array(list({int(x) % toxicity.SLOTS: x for x in field.keys}.values()), np.uint64)
+    field.keys.sort()
+    field.weights = field.weights[:, -len(field.keys) - 1 :]
+    number = {int(x): i for i, x in enumerate(field.keys)}
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(list(enumerate([*ODD_TEXTS, None])), "doc_id long, text string").repartition(2), field).collect()}
+    for i, text in enumerate([*ODD_TEXTS, None]):
+        raw = (text or "").encode()
+        words_, features = toxicity.token_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        w = lambda row, x: field.weights[row, number[int(x)]] if int(x) in number else 0.0  # noqa: E731, B023
+        n = len(features)
+        e = [np.array([1, np.exp(field.bias + sum(w(0, x) for x in features[t]) + (w(1, features[t - 1, 0]) if t else 0) + (w(2, features[t + 1, 0]) if t + 1 < n else 0))]) for t in range(n)]
+        alpha, beta = [], [np.ones(2)]
+        for t in range(n):
+            alpha.append((field.start if t == 0 else alpha[-1] @ field.stay) * e[t])
+        for t in range(n - 1, 0, -1):
+            beta.insert(0, field.stay @ (e[t] * beta[0]))
+        marginal = np.array([a[1] * b[1] / (a @ b) for a, b in zip(alpha, beta)]) if n else np.zeros(0)
+        most, total = np.clip(marginal.max(), 1e-4, 1 - 1e-4) if n else 0, marginal.sum()
+        x = np.array([1, np.log(most / (1 - most)), np.log(total + 1e-3), np.log(total / n + 1e-3)]) if n else np.array([1, -9, np.log(1e-3), np.log(1e-3)])
+        assert got[i].score == pytest.approx(1 / (1 + np.exp(-x @ field.layer)), rel=1e-6)
+        spans = []
+        for t in np.flatnonzero(marginal >= 0.5):
+            a, b = (len(raw[: int(x)].decode()) for x in (words_.starts[t], words_.ends[t]))
+            if spans and t and marginal[t - 1] >= 0.5:
+                spans[-1] = (spans[-1][0], b)
+            else:
+                spans.append((a, b))
+        assert [(s["start"], s["end"]) for s in got[i].spans] == spans
+
+
+def test_feature_counts_equal_brute_force():
+    import pyarrow as pa
+
+    toxic = [i % 3 == 0 for i in range(len(ODD_TEXTS))]
+    got = Counter()
+    for batch in toxicity.count_features(iter([pa.RecordBatch.from_arrays([pa.array(list(map(int, toxic))), pa.array(ODD_TEXTS)], ["toxic", "text"])])):
+        for r in batch.to_pylist():
+            got += Counter({(r["feature"], 1): r["toxic"], (r["feature"], 0): r["clean"]})
+    want = Counter()
+    for text, bad in zip(ODD_TEXTS, toxic, strict=True):
+        raw = text.encode()
+        _, features = toxicity.token_features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        want.update((int(x), int(bad)) for x in {*features.view(np.int64).ravel().tolist()} - {0})
+    assert got == want
+
+
+def test_held_out_toxicity(spark):
+    """Learnt from two thirds of the labels: held-out documents are told apart."""
+    from weftgraph.llm.queries import op3_toxicity
+
+    sf = "/root/testdata/sf0.01"
+    got = op3_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    assert got.predicted[got.toxic == 0].mean() <= 0.02 and got.predicted[got.toxic == 1].mean() >= 0.7
+
+
 def test_toxicity_spans(spark):
     rng = random.Random(1)
     plain = ["la", "miro", "teno", "sula", "kore", "vani"]
