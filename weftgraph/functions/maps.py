@@ -7,6 +7,7 @@ from typing import Any
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..catalog import Field
 from ..types import MAP, MAP_VALUE, MEMBERS, TAGS, tagged
 
 
@@ -46,8 +47,48 @@ def value_as(value: Column, kind: str) -> Column:
     return value_text(value) if kind == "string" else value[MEMBERS[kind]]
 
 
-def number(value: Column) -> Column:
-    return F.coalesce(value["i32"].cast("double"), value["i64"].cast("double"), value["f32"].cast("double"), value["f64"])
+def whole(value: Column) -> Column:
+    """The value, if it is a whole number's type."""
+    return F.coalesce(value["i32"].cast("bigint"), value["i64"])
+
+
+def real(value: Column) -> Column:
+    """The value, if it is a floating-point number."""
+    return F.coalesce(value["f32"].cast("double"), value["f64"])
+
+
+def text_to_json(text: Column) -> Column:
+    quoted = F.to_json(F.array(text))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def to_json(column: Column) -> Column:
+    """A property map as a flat JSON object, its keys in order; 32 and 64 bit numbers look alike there."""
+
+    def entry(e: Column) -> Column:
+        value = e["value"]
+        number = F.coalesce(value["i32"].cast("string"), value["i64"].cast("string"), real(value).cast("string"), value["b"].cast("string"))
+        return F.concat(text_to_json(e["key"]), F.lit(":"), F.coalesce(F.when(value["s"].isNotNull(), text_to_json(value["s"])), number, F.lit("null")))
+
+    entries = F.array_sort(F.map_entries(column))
+    return F.when(column.isNotNull(), F.concat(F.lit("{"), F.array_join(F.transform(entries, entry), ","), F.lit("}")))
+
+
+def fields_to_json(fields: tuple[Field, ...]) -> Column:
+    """The columns of fields as a JSON object; null ones are left out."""
+    plain = F.to_json(F.struct(*(F.col(f.name) for f in fields if f.type.kind != "map"))) if any(f.type.kind != "map" for f in fields) else F.lit("{}")
+    parts = [F.nullif(F.substring(plain, F.lit(2), F.length(plain) - 2), F.lit(""))]
+    parts += [F.concat(text_to_json(F.lit(f.name)), F.lit(":"), to_json(F.col(f.name))) for f in fields if f.type.kind == "map"]
+    return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+
+
+def fields_from_json(column: Column, fields: tuple[Field, ...]) -> list[Column]:
+    """The fields of a JSON object, each null where it is missing or of another type."""
+    kinds = ", ".join(f"`{f.name}` {'string' if f.type.kind == 'map' else f.type.spark.simpleString()}" for f in fields)
+    if not kinds:
+        return []
+    got = F.from_json(column, f"struct<{kinds.replace('` ', '`: ')}>")
+    return [from_json(got[f.name]) if f.type.kind == "map" else got[f.name] for f in fields]
 
 
 def from_json(column: Column | str) -> Column:

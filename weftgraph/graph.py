@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,6 +16,12 @@ from .functions import arrays, maps
 from .operators import mutate, temporal
 from .plans.compiler import Compiler, Result, Scope
 from .plans.query import Assignment, GraphQuery, GraphUpdate, Item, Query, Update, UpdateResult
+from .storage import write_once
+
+log = logging.getLogger(__name__)
+#: Nodes of the smaller side of a statement that connects every node of one selection with every one of another: up to so
+#: many they are broadcast.
+BROADCAST_NODES = 200_000
 
 
 @dataclass(frozen=True)
@@ -37,9 +44,10 @@ class Table:
     waiting: list[tuple] = field(default_factory=list)
     changes: int = 0
     dirty: bool = True
-    next_id: int = 0
+    next_id: int | None = 0  # None: one above the highest id that is there
     saved: str | None = None  # where the last snapshot has it
     bounds: list[int] | None = None
+    numbered: bool = True  # edges have ids
 
 
 class Graph:
@@ -47,7 +55,7 @@ class Graph:
         self.spark, self.config = spark, config or Config()
         self.catalog = Catalog()
         self.nodes: dict[str, Table] = {}
-        self.versions: dict[str, DataFrame] = {}
+        self.versions: dict[str, temporal.Versions] = {}
         self.edges: dict[str, Table] = {}
         self._edge_ids = 0
 
@@ -71,22 +79,52 @@ class Graph:
         return self.catalog.edge(name).spark
 
     def use_nodes(self, name: str, frame: DataFrame, versions: DataFrame | None = None) -> NodeSchema:
-        """Let a DataFrame with an id column serve as the nodes of a schema made from its columns; nothing is copied."""
+        """Let a DataFrame with an id column serve as the nodes of a schema made from its columns; nothing is copied.
+
+        versions is a version table of these nodes. Without one, where versions are kept, they begin now. New nodes get ids
+        above those that are there.
+        """
         rest = [c for c in frame.columns if c != "id"]
         schema = self.catalog.add_node_schema(name, frame.select(*rest).schema)
-        self.nodes[name] = Table(frame.select(F.col("id").cast("bigint").alias("id"), *rest))
+        self.nodes[name] = Table(frame.select(F.col("id").cast("bigint").alias("id"), *rest), next_id=None)
         if versions is not None:
-            self.versions[name] = versions
+            self.versions[name] = temporal.Versions(versions)
+        elif self.config.versioning:
+            self.begin_versions(name)
         return schema
 
+    def begin_versions(self, name: str) -> None:
+        """Let the nodes of a schema, as they are, be their first versions, valid from now on."""
+        fields = [f.name for f in self.catalog.node(name).fields]
+        self.versions[name] = temporal.Versions(temporal.first_versions(self.nodes[name].frame, fields, self.config.clock()))
+
+    def _next_id(self, name: str) -> int:
+        table = self.nodes[name]
+        if table.next_id is None:
+            highest = table.frame.agg(F.max("id")).first()[0]
+            table.next_id = 0 if highest is None else highest + 1
+        return table.next_id
+
     def use_edges(self, name: str, frame: DataFrame, source: str | None = None, target: str | None = None, unique: bool = False) -> EdgeType:
-        """Let a DataFrame with source_id and target_id serve as an edge type. Without ids, parallel edges need unique or no alias."""
+        """Let a DataFrame with source_id and target_id serve as an edge type; nothing is copied.
+
+        Without an id column, of parallel edges the one with the highest hash of the properties looked at counts, and edges get
+        ids when they are first changed.
+        """
         rest = [c for c in frame.columns if c not in EDGE_FIELDS]
         edge = self.catalog.add_edge_type(name, frame.select(*rest).schema if rest else None, source, target, unique)
         whole = [F.col(c).cast("bigint").alias(c) if c in frame.columns else F.lit(None).cast("bigint").alias(c) for c in EDGE_FIELDS]
-        self.edges[name] = Table(frame.select(*whole, *rest))
+        self.edges[name] = Table(frame.select(*whole, *rest), numbered="id" in frame.columns)
         return edge
 
+    def _numbered(self, name: str) -> None:
+        """Give the edges of a type ids, if they have none."""
+        table = self.edges[name]
+        if not table.numbered:
+            frame, n = mutate.with_dense_ids(table.frame.drop("id"), self._edge_ids)
+            self._edge_ids += n
+            table.frame, table.numbered, table.dirty = frame.select(*table.frame.columns), True, True
+
     def on_demand(self, name: str, load: Callable[[], object]) -> None:
         """Call load, which registers the schema or edge type of that name, when the name is first asked for."""
         self.catalog.loaders[name] = load
@@ -105,11 +143,9 @@ class Graph:
         table.dirty = True
         table.frame = self._cut(frame) if table.changes % self.config.checkpoint_every == 0 else frame
 
-    def _cut(self, frame: DataFrame) -> DataFrame:
-        context = self.spark.sparkContext
-        if not self.spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-            context.setCheckpointDir(self.spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-        return frame.checkpoint()
+    @staticmethod
+    def _cut(frame: DataFrame) -> DataFrame:
+        return write_once(frame)
 
     def node_frame(self, name: str, valid_time: int | None = None, tx_time: int | None = None) -> DataFrame:
         """The nodes of a schema: id and fields; as of times, if versions are kept."""
@@ -117,7 +153,7 @@ class Graph:
         current = self._flushed(self.nodes[name], schema.spark)
         if (valid_time is None and tx_time is None) or name not in self.versions:
             return current
-        return temporal.as_of(self.versions[name], [f.name for f in schema.fields], valid_time, tx_time)
+        return self.versions[name].as_of([f.name for f in schema.fields], valid_time, tx_time)
 
     def edge_frame(self, name: str, source: str | None = None, target: str | None = None) -> DataFrame:
         """The edges of a type; none, if it is declared between other schemas than those asked for."""
@@ -144,16 +180,28 @@ class Graph:
         if chunk:
             yield chunk
 
-    def column_values(self, schema: str, field: str) -> list:
-        """The values of a field that are not null, in order of id; all of them come to the driver."""
+    def scan_edges(self, type: str) -> DataFrame:
+        """The edges of a type in order of id."""
+        return self.edge_frame(type).orderBy("id", "source_id", "target_id")
+
+    def column(self, schema: str, field: str) -> DataFrame:
+        """(id, value) of a field where it is not null."""
         self.catalog.node(schema).field(field)
-        return [r[0] for r in self.scan(schema).filter(F.col(field).isNotNull()).select(field).collect()]
+        return self.node_frame(schema).filter(F.col(field).isNotNull()).select("id", F.col(field).alias("value"))
+
+    def iter_values(self, schema: str, field: str) -> Iterator:
+        """The values of a field that are not null, in order of id; the driver holds one partition at most."""
+        return (r["value"] for r in self.column(schema, field).orderBy("id").toLocalIterator())
+
+    def column_values(self, schema: str, field: str) -> list:
+        """The same as a list, so all of them come to the driver."""
+        return list(self.iter_values(schema, field))
 
     def version_counts(self, schema: str) -> DataFrame:
         """(id, versions) of a schema whose versions are kept."""
         if schema not in self.versions:
             raise NotFound(f"no versions of {schema} are kept")
-        return self.versions[schema].groupBy("id").agg(F.count("*").alias("versions"))
+        return self.versions[schema].whole().groupBy("id").agg(F.count("*").alias("versions"))
 
     def version_at(self, schema: str, id: int, valid_time: int | None = None, tx_time: int | None = None) -> Row | None:
         """One node as of times; None where it is not visible."""
@@ -211,19 +259,21 @@ class Graph:
         """Add one node; it waits on the driver until the next read. For many, see create_nodes."""
         kind, table = self.catalog.node(schema), self.nodes.get(schema)
         row = self._row(kind, values)
-        id, table.next_id = table.next_id, table.next_id + 1
+        id = self._next_id(schema)
+        table.next_id = id + 1
         table.waiting.append((id, *row))
         if self.config.versioning:
-            now = self.config.clock()
-            one = self.spark.createDataFrame([(id, *row)], kind.spark)
-            self._add_versions(schema, temporal.first_versions(one, [f.name for f in kind.fields], now))
+            self._versions_of(kind).waiting.append((id, 0, self.config.clock(), temporal.FOREVER, 0, temporal.FOREVER, *row))
         return id
 
-    def _add_versions(self, schema: str, rows: DataFrame) -> None:
-        self.versions[schema] = self.versions[schema].unionByName(rows) if schema in self.versions else rows
+    def _versions_of(self, kind: NodeSchema) -> temporal.Versions:
+        if kind.name not in self.versions:
+            none = self.spark.createDataFrame([], kind.spark)
+            self.versions[kind.name] = temporal.Versions(temporal.first_versions(none, [f.name for f in kind.fields], 0))
+        return self.versions[kind.name]
 
     def create_nodes(self, schema: str, rows: DataFrame) -> int:
-        """Add many nodes; they get consecutive ids. Columns that the schema lacks are an error, fields left out are null."""
+        """Add many nodes; they are written once and get consecutive ids. Columns that the schema lacks are an error, fields left out are null."""
         kind, table = self.catalog.node(schema), self.nodes[schema]
         for c in rows.columns:
             if c == "id":
@@ -235,12 +285,13 @@ class Graph:
             if not f.nullable and self.config.validation and (f.name not in rows.columns or rows.filter(F.col(f.name).isNull()).limit(1).count()):
                 raise Invalid(f"{schema}.{f.name} is required")
         full = rows.select(*(F.col(f.name).cast(f.type.spark).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.type.spark).alias(f.name) for f in kind.fields))
-        numbered, n = mutate.with_dense_ids(full, table.next_id)
+        first = self._next_id(schema)
+        numbered, n = mutate.with_dense_ids(full, first)
         numbered = numbered.select(*kind.names)
-        table.next_id += n
+        table.next_id = first + n
         self._store(table, self._flushed(table, kind.spark).unionByName(numbered))
         if self.config.versioning:
-            self._add_versions(schema, temporal.first_versions(numbered, [f.name for f in kind.fields], self.config.clock()))
+            self._versions_of(kind).add(temporal.first_versions(numbered, [f.name for f in kind.fields], self.config.clock()))
         return n
 
     def connect(self, source_id: int, type: str, target_id: int, **properties: Any) -> int:
@@ -264,7 +315,7 @@ class Graph:
         return id
 
     def connect_many(self, type: str, rows: DataFrame) -> int:
-        """Add many edges from a table with source_id, target_id and properties."""
+        """Add many edges from a table with source_id, target_id and properties; they are written once and get consecutive ids."""
         edge = self.catalog.edge(type)
         self.edges.setdefault(type, Table(self.spark.createDataFrame([], edge.spark)))
         for c in rows.columns:
@@ -290,11 +341,29 @@ class Graph:
             if unique and n > 1:
                 raise Invalid(f"more than one {schema} matches")
         edge = self.catalog.edge(type)
-        pairs = sides[0].select(F.col("id").alias("source_id")).crossJoin(sides[1].select(F.col("id").alias("target_id")))  # that is what is asked for
+        # Every source with every target is what is asked for: its size is counted and said, and only a small side is broadcast.
+        counts = [s.count() for s in sides]
+        log.info("%s: %d sources x %d targets = %d edges", type, *counts, counts[0] * counts[1])
+        ends = [s.select(F.col("id").alias(c)) for s, c in zip(sides, ("source_id", "target_id"), strict=True)]
+        least = counts.index(min(counts))
+        if counts[least] <= BROADCAST_NODES:
+            ends[least] = F.broadcast(ends[least])
+        pairs = ends[0].crossJoin(ends[1])
         for name, value in properties.items():
             kind = edge.field(name).type
             pairs = pairs.withColumn(name, self._literal(kind, kind.check(value)))
-        return self.connect_many(type, self._cut(pairs))
+        return self.connect_many(type, pairs)
+
+    def connect_json(self, type: str, rows: DataFrame, column: str = "properties") -> int:
+        """Add many edges whose properties stand in a JSON object of a text column; names that the edge type lacks are left out."""
+        edge = self.catalog.edge(type)
+        ends = [F.col("source_id"), F.col("target_id")]
+        return self.connect_many(type, rows.select(*ends, *(c.alias(f.name) for f, c in zip(edge.fields or (), maps.fields_from_json(F.col(column), edge.fields or ()), strict=True))))
+
+    def edges_as_json(self, type: str) -> DataFrame:
+        """(id, source_id, target_id, created_ts, properties): the properties of each edge as a JSON object; null ones are left out."""
+        frame, fields = self.edge_frame(type), self.catalog.edge(type).fields or ()
+        return frame.select(*EDGE_FIELDS, maps.fields_to_json(fields).alias("properties"))
 
     # Queries
 
@@ -339,9 +408,33 @@ class Graph:
         frame = self._flushed(table, kind.spark)
         if self.config.versioning and schema in self.versions:
             changed = mutate.changed_rows(frame, ids, changes)
-            self.versions[schema] = self._cut(temporal.next_versions(self.versions[schema], changed, [f.name for f in kind.fields], self.config.clock()))
+            self.versions[schema].change(changed, [f.name for f in kind.fields], self.config.clock(), self.config.checkpoint_every)
         self._store(table, mutate.update_rows(frame, ids, changes))
 
+    def update_node(self, schema: str, id: int, field: str, value: Any, append: bool = False) -> UpdateResult:
+        """Set one field of a node (field or map.key), or append to it."""
+        update = Update.on(schema, id)
+        return self.update(update.append(field, value) if append else update.set(field, value))
+
+    def update_node_fields(self, schema: str, id: int, values: dict[str, Any], append: bool = False) -> UpdateResult:
+        """Set several fields of a node, or append to them, as one change."""
+        update = Update.on(schema, id)
+        for name, value in values.items():
+            update = update.append(name, value) if append else update.set(name, value)
+        return self.update(update)
+
+    def remove_key(self, schema: str, id: int, field: str, key: str) -> UpdateResult:
+        """Remove a key from a node's map."""
+        kind = self.catalog.node(schema)
+        if kind.field(field).type.kind != "map":
+            raise TypeMismatch(f"{field} is no map")
+        try:
+            self.get_node(schema, id)
+        except GraphError as error:
+            return UpdateResult(0, 1, [str(error)])
+        self._apply(schema, F.col("id") == id, {field: maps.remove_key(F.col(field), key)})
+        return UpdateResult(1)
+
     def update(self, update: GraphUpdate | Update) -> UpdateResult:
         """Update one node by id, or what a pattern matches: each node and edge once, however many rows it stands in."""
         update = update.build() if isinstance(update, Update) else update
@@ -387,6 +480,7 @@ class Graph:
             found = self.query(_selecting(query, f"{alias}.id")).df.select(F.col(f"`{alias}.id`").alias("id"))
             return self._cut(found.filter("id IS NOT NULL").distinct())
         # An edge is known by its ends here; of parallel ones the query sees the one with the highest id.
+        self._numbered(kind.name)
         hop = next(c for c in query.clauses if getattr(c, "alias", None) == alias)
         ends = [f"{hop.source.alias}.id", f"{hop.target.alias}.id"]
         found = self.query(_selecting(query, *ends)).df.select(*(F.col(f"`{e}`").alias(c) for e, c in zip(ends, ("source_id", "target_id"), strict=True))).distinct()
@@ -411,8 +505,7 @@ class Graph:
         frame = self._flushed(table, kind.spark)
         self._store(table, frame.filter(keep) if isinstance(keep, Column) else frame.join(keep, "id", "left_anti"))
         if schema in self.versions:
-            versions = self.versions[schema]
-            self.versions[schema] = versions.filter(keep) if isinstance(keep, Column) else versions.join(keep, "id", "left_anti")
+            self.versions[schema].keep(lambda v: v.filter(keep) if isinstance(keep, Column) else v.join(keep, "id", "left_anti"))
 
     def delete_matched(self, query: GraphQuery | Query, aliases: Iterable[str] | None = None) -> int:
         """Remove the nodes that a pattern matches, of the aliases given or of its first."""
@@ -432,6 +525,8 @@ class Graph:
         frame = self.edge_frame(type)
         if type not in self.edges:
             return 0
+        self._numbered(type)
+        frame = self.edge_frame(type)
         gone = frame if id is None else frame.filter(F.col("id") == id)
         for side, picked in (("source_id", source), ("target_id", target)):
             if picked is not None:

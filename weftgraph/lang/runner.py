@@ -80,7 +80,7 @@ def execute(graph: Graph, text: str) -> DataFrame | UpdateResult | int | str | N
         case p.Show(edge_type=None):
             return graph.edge_types()
         case p.Show():
-            return graph.edge_frame(s.edge_type).select("id", "source_id", "target_id", "created_ts")
+            return graph.scan_edges(s.edge_type).select("id", "source_id", "target_id", "created_ts")
         case p.Commit():
             return graph.commit()
     return None

@@ -5,23 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import write_once
+
 
 def with_dense_ids(rows: DataFrame, start: int, name: str = "id") -> tuple[DataFrame, int]:
     """rows with consecutive ids from start, and how many there are.
 
-    Only a count a partition is gathered; no row moves. rows must be a table that reads the same each time.
+    rows are run once: they are written with the number of their partition and their place in it, and ids come from what was
+    written, whatever partitions it is read in later. Only a count a partition is gathered.
     """
-    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    counts = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    if not counts:
-        return rows.withColumn(name, F.lit(None).cast("bigint")), 0
+    placed = write_once(rows.withColumn("_row", F.monotonically_increasing_id()))
+    counts = placed.groupBy(F.shiftright("_row", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()
     bases, total = [], start
-    for part, n in counts:
-        bases.append((part, total))
-        total += n
-    base = F.broadcast(rows.sparkSession.createDataFrame(bases, "_part int, _base bigint"))  # one row a partition
+    for r in counts:
+        bases.append((r["part"], total))
+        total += r["n"]
+    base = F.broadcast(rows.sparkSession.createDataFrame(bases, "_part bigint, _base bigint"))  # one row a partition
     within = F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))
-    return numbered.join(base, "_part").withColumn(name, F.col("_base") + within).drop("_part", "_row", "_base"), total - start
+    numbered = placed.withColumn("_part", F.shiftright("_row", 33)).join(base, "_part")
+    return numbered.withColumn(name, F.col("_base") + within).drop("_part", "_row", "_base"), total - start
 
 
 def changed_rows(frame: DataFrame, ids: DataFrame | Column, changes: dict[str, Column]) -> DataFrame:

@@ -7,6 +7,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..catalog import EDGE_FIELDS, EdgeType, NodeSchema
 from ..errors import Invalid, NotFound, Unsupported
@@ -154,19 +155,21 @@ class Compiler:
             frame = frame.filter(expression.column(self.scope))
         return frame
 
-    def edges(self, c: Traverse, pushed: dict[str, list[Expression]], near_is_source: bool) -> DataFrame:
+    def edges(self, c: Traverse, pushed: dict[str, list[Expression]], near_is_source: bool) -> hops.Edges:
         frame = self.graph.edge_frame(c.type, self.scope.nodes[c.source.alias].name, self.scope.nodes[c.target.alias].name)
         kind, columns = self.scope.catalog.edge(c.type), []
         if c.alias:
             names = [*EDGE_FIELDS, *(f.name for f in kind.fields)]
-            renamed = frame.select(*EDGE_FIELDS, *(F.col(n).alias(f"{c.alias}.{n}") for n in names))
+            frame = frame.select(*EDGE_FIELDS, *(F.col(n).alias(f"{c.alias}.{n}") for n in names))
             for expression in pushed.get(c.alias, ()):
-                renamed = renamed.filter(expression.column(self.scope))
-            columns = self.wanted(c.alias, [f.name for f in kind.fields])
-            frame = renamed.select(*EDGE_FIELDS, *(F.col(f"`{c.alias}.{n}`").alias(n) for n in columns))
-        frame = hops.without_parallels(frame, columns, kind.unique)
+                frame = frame.filter(expression.column(self.scope))
+            columns = [f"{c.alias}.{n}" for n in self.wanted(c.alias, [f.name for f in kind.fields])]
         near, far = ("source_id", "target_id") if near_is_source else ("target_id", "source_id")
-        return frame.select(F.col(near).alias(hops.NEAR), F.col(far).alias(hops.FAR), *(F.col(n).alias(f"{c.alias}.{n}") for n in columns))
+        # Edges that have no id are told apart by what is looked at; a map has no hash, but its entries have.
+        told = [F.array_sort(F.map_entries(f"`{x}`")) if isinstance(frame.schema[x].dataType, MapType) else F.col(f"`{x}`") for x in columns]
+        order = [] if kind.unique or not columns else [F.coalesce(F.col("id"), F.xxhash64(*told)).alias(hops.ORDER)]
+        frame = frame.select(F.col(near).alias(hops.NEAR), F.col(far).alias(hops.FAR), *(F.col(f"`{x}`") for x in columns), *order)
+        return hops.Edges(frame, tuple(columns), kind.unique)
 
     def wanted(self, alias: str, fields: list[str]) -> list[str]:
         """Which properties of an edge are looked at after its hop; the others need not be told apart among parallel edges."""

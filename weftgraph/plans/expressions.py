@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 from typing import Any, Protocol
 
@@ -124,10 +125,83 @@ class Comparison(Expression):
             return self._equal(value["tag"], F.lit(None))
         own = tag_of(self.value)
         self._check(own)
-        found = maps.number(value) if own in NUMERIC else value[MEMBERS[own]]
+        if own not in NUMERIC:
+            found = value[MEMBERS[own]]
+            return self._equal(found, F.lit(self.value)) if self.op in ("=", "!=") else self._ordered(found)
+        # Whole numbers are compared as such: as doubles those above 2**53 would run together.
+        whole, number = maps.whole(value), maps.real(value)
+        if self.op == "!=":
+            return ~F.coalesce(self._of_whole(whole, "="), number == float(self.value), F.lit(False))
+        op = getattr(number, ORDERED.get(self.op, "__eq__"))
+        return F.coalesce(self._of_whole(whole, self.op), op(F.lit(float(self.value))))
+
+    def _of_whole(self, whole: Column, op: str) -> Column:
+        """A whole number compared with the value, exactly; null where there is none."""
+        bound = self.value
+        if isinstance(bound, float) and not math.isfinite(bound):
+            return getattr(whole.cast("double"), ORDERED.get(op, "__eq__"))(F.lit(bound))
+        if bound != int(bound):  # between two whole numbers
+            if op == "=":
+                return F.when(whole.isNotNull(), F.lit(False))
+            bound = math.floor(bound) if op in (">", "<=") else math.ceil(bound)
+        bound = int(bound)
+        if not -(2**63) <= bound < 2**63:
+            return F.when(whole.isNotNull(), F.lit(op != "=" and (op in ("<", "<=")) == (bound > 0)))
+        return getattr(whole, ORDERED.get(op, "__eq__"))(F.lit(bound).cast("bigint"))
+
+
+@dataclass(frozen=True)
+class Path:
+    """Another field, as the right side of a comparison."""
+
+    text: str
+
+    def __str__(self) -> str:
+        return self.text
+
+
+@dataclass(frozen=True)
+class FieldComparison(Expression):
+    """Two fields compared, of one alias or of two. Numbers of any type are compared with each other; null equals null."""
+
+    path: str
+    op: str
+    other: str
+
+    def __post_init__(self) -> None:
+        if self.op not in OPERATORS:
+            raise Invalid(f"unknown operator {self.op!r}")
+        for path in (self.path, self.other):
+            if path.count(".") < 1:
+                raise Invalid(f"{path!r} is not alias.field")
+
+    def aliases(self) -> set[str]:
+        return {self.path.split(".")[0], self.other.split(".")[0]}
+
+    def comparisons(self) -> list[Comparison]:
+        """What each side looks at."""
+        return [Comparison(self.path, "=", None), Comparison(self.other, "=", None)]
+
+    def __str__(self) -> str:
+        return f"{self.path} {self.op} {self.other}"
+
+    def column(self, scope: Resolver) -> Column:
+        left, right = scope.resolve(self.path), scope.resolve(self.other)
+        if left.key is not None or right.key is not None:
+            raise Unsupported(f"{self}: keys of maps are compared with values only")
+        kinds = (left.type.kind, right.type.kind)
+        if not (kinds[0] == kinds[1] or all(k in NUMERIC for k in kinds)) or "array" in kinds or "map" in kinds:
+            raise TypeMismatch(f"{self}: {left.type} and {right.type} can't be compared")
+        if kinds[0] == "bool" and self.op not in ("=", "!="):
+            raise TypeMismatch(f"{self}: booleans have no order")
+        if self.op in TEXTUAL:
+            if kinds[0] != "string":
+                raise TypeMismatch(f"{self}: {self.op} is for strings")
+            return getattr(left.column, TEXTUAL[self.op])(right.column)
         if self.op in ("=", "!="):
-            return self._equal(found, F.lit(float(self.value) if own in NUMERIC else self.value))
-        return self._ordered(found)
+            same = left.column.eqNullSafe(right.column)
+            return same if self.op == "=" else ~same
+        return getattr(left.column, ORDERED[self.op])(right.column)
 
 
 @dataclass(frozen=True)
@@ -150,7 +224,9 @@ class Both(Expression):
         return left & right if self.op == "AND" else left | right
 
 
-def compare(path: str, op: str, value: Any) -> Comparison:
+def compare(path: str, op: str, value: Any) -> Comparison | FieldComparison:
+    if isinstance(value, Path):
+        return FieldComparison(path, op, value.text)
     if isinstance(value, Column):
         raise Unsupported("a value is a literal")
     return Comparison(path, op, value)

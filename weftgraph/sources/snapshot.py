@@ -33,6 +33,15 @@ class Files:
         self._io = spark._jvm.org.apache.hadoop.io.IOUtils
         self._buffer = spark._jvm.java.io.ByteArrayOutputStream
         self.system = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        gateway = spark.sparkContext._gateway
+        self._overwrite = gateway.new_array(getattr(gateway.jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        self._overwrite[0] = getattr(gateway.jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        self._context = gateway.jvm.org.apache.hadoop.fs.FileContext
+        self._scheme = self.system.getUri().getScheme()
+        if self._scheme == "file":  # without checksum files beside, so that one rename is all
+            self.system = gateway.jvm.org.apache.hadoop.fs.RawLocalFileSystem()
+            self.system.initialize(gateway.jvm.java.net.URI("file:///"), self._conf)
 
     def read(self, name: str) -> dict | None:
         path = self._path(f"{self.root}/{name}")
@@ -43,14 +52,20 @@ class Files:
         return json.loads(out.toString(self._charset))
 
     def write(self, name: str, content: dict) -> None:
-        """Writes beside the file and then renames."""
+        """Put the file in place in one step: readers find the one before or this one, whole, whatever fails in between.
+
+        File systems with a rename get it written beside and then renamed over; object stores show a file when it is complete.
+        """
         path, beside = self._path(f"{self.root}/{name}"), self._path(f"{self.root}/{name}.new")
-        stream = self.system.create(beside, True)
+        scheme = self._scheme
+        renames = scheme in ("file", "hdfs", "viewfs")
+        stream = self.system.create(beside if renames else path, True)
         stream.write(bytearray(json.dumps(content, indent=1).encode()))
         stream.close()
-        if self.system.exists(path):
-            self.system.delete(path, False)
-        self.system.rename(beside, path)
+        if scheme == "file":
+            self.system.rename(beside, path)  # rename(2), which replaces
+        elif renames:
+            self._context.getFileContext(path.toUri(), self._conf).rename(beside, path, self._overwrite)
 
 
 def _fields_out(fields) -> list | None:
@@ -81,7 +96,7 @@ def commit(graph: Graph) -> str:
                 writer.parquet(f"{files.root}/{folder}")
                 table.saved, table.dirty = folder, False
                 table.frame = graph.spark.read.schema(spark_schema).parquet(f"{files.root}/{folder}")
-            entries[kind][name] = {"path": table.saved, "next_id": table.next_id, "bounds": table.bounds}
+            entries[kind][name] = {"path": table.saved, "next_id": table.next_id, "bounds": table.bounds, "numbered": table.numbered}
     snapshot = uuid.uuid4().hex
     schemas = {
         "nodes": {n: {"fields": _fields_out(s.fields), "version": s.version} for n, s in graph.catalog.nodes.items()},
@@ -94,7 +109,10 @@ def commit(graph: Graph) -> str:
 
 
 def restore(spark: SparkSession, config: Config, snapshot: str | None = None) -> Graph:
-    """The graph of the current snapshot (or of the one named); an empty one, if there is none. Tables are read on use."""
+    """The graph of the current snapshot (or of the one named); an empty one, if there is none. Tables are read on use.
+
+    Versions, where they are kept, begin anew: the nodes as restored are valid from now on.
+    """
     from ..graph import Graph, Table
 
     graph = Graph(spark, config)
@@ -115,8 +133,11 @@ def restore(spark: SparkSession, config: Config, snapshot: str | None = None) ->
         for name, entry in manifest[kind].items():
             schema = (graph.catalog.node(name) if kind == "nodes" else graph.catalog.edge(name)).spark
             frame = spark.read.schema(schema).parquet(f"{files.root}/{entry['path']}")
-            tables[name] = Table(frame, dirty=False, next_id=entry["next_id"], saved=entry["path"], bounds=entry["bounds"])
+            tables[name] = Table(frame, dirty=False, next_id=entry["next_id"], saved=entry["path"], bounds=entry["bounds"], numbered=entry.get("numbered", True))
     graph._edge_ids = manifest["edge_ids"]
+    if config.versioning:
+        for name in graph.nodes:
+            graph.begin_versions(name)
     return graph
 
 
