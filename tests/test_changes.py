@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,10 @@ def test_maps(spark):
     assert deep.failed == 1 and "one level" in deep.errors[0]
     got = {r.id: r.props for r in graph.node_frame("M").collect()}
     assert (got[0]["k"].i64, got[0]["z"].s, got[1]["k"].f64) == (2, "s", 0.5)
+    graph.update(Update.on("M", 0).remove("props.z"))
+    assert list(graph.get_node("M", 0).props) == ["k"]
+    with pytest.raises(Invalid):
+        Update.on("M", 0).remove("props")
     graph.update(Update.on("M", 0).set("props", {"only": True}))
     graph.update(Update.on("M", 1).set("props", {}))
     got = {r.id: r.props for r in graph.node_frame("M").collect()}
@@ -131,6 +137,101 @@ def test_bulk_ids_are_dense(spark):
         graph.create_nodes("U", spark.range(3).withColumnRenamed("id", "other"))
 
 
+def test_bulk_loads_of_aggregated_tables_lose_nothing(spark):
+    """The rows come from shuffles, which read in other partitions when fewer columns are asked for."""
+    graph, n = Graph(spark), 200_000
+    graph.create_schema("U", {"key": "int64", "wide": "string", "n": "int64"})
+    graph.create_edge_schema("K", {"wide": "string"})
+    source = spark.range(2 * n).select((F.col("id") % n).alias("key"), F.repeat(F.col("id").cast("string"), 8).alias("wide"))
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        made = source.groupBy("key").agg(F.max("wide").alias("wide"), F.count("*").alias("n"))
+        assert graph.create_nodes("U", made) == n
+        joined = graph.node_frame("U").join(made.select("key", F.col("wide").alias("other")), "key")
+        assert graph.connect_many("K", joined.select(F.col("id").alias("source_id"), F.col("key").alias("target_id"), F.col("other").alias("wide"))) == n
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    for frame, key in ((graph.node_frame("U"), "key"), (graph.edge_frame("K"), "target_id")):
+        assert frame.count() == n
+        got = frame.agg(F.count("wide"), F.countDistinct("id"), F.min("id"), F.max("id"), F.countDistinct(key), F.sum(F.crc32("wide"))).first()
+        assert got[:5] == (n, n, 0, n - 1, n)
+    assert graph.node_frame("U").filter("n <> 2").count() == 0
+    pairs = graph.edge_frame("K").join(graph.node_frame("U"), F.col("source_id") == graph.node_frame("U")["id"])
+    assert pairs.count() == n
+
+
+def test_ids_go_on_above_those_registered(spark):
+    graph = Graph(spark)
+    graph.use_nodes("A", spark.createDataFrame([(0, "x")], "id long, name string"))
+    graph.use_nodes("B", spark.createDataFrame([(7, "x"), (3, "y")], "id long, name string"))
+    graph.use_nodes("C", spark.createDataFrame([], "id long, name string"))
+    assert [graph.create_node(s, name="z") for s in "ABC"] == [1, 8, 0]
+    assert graph.create_nodes("B", spark.createDataFrame([("q",)], "name string")) == 1 and graph.get_node("B", 9).name == "q"
+
+
+def test_edges_without_ids(spark):
+    """The example of the README, and parallel edges."""
+    graph = Graph(spark, Config(versioning=True))
+    graph.use_nodes("User", spark.createDataFrame([(1, "Ann", 40), (2, "Bob", 20)], "id long, name string, age int"))
+    graph.use_edges("KNOWS", spark.createDataFrame([(1, 2, 2021)], "source_id long, target_id long, since int"), "User", "User")
+    query = Query.match("u:User").where("u.age", ">", 30).traverse("u", "KNOWS", "f:User", "LEFT", alias="e").where("e.since", ">=", 2020).select("u.name", "f", "e.since")
+    assert rows(graph.query(query)) == [("Ann", 2, "Bob", 20, 2021)]
+    parallel = [(1, 2, y, {"a": y}) for y in (2019, 2022, 2020)] + [(2, 1, None, None)]
+    graph.use_edges("P", spark.createDataFrame(parallel, "source_id long, target_id long, since int, more map<string,int>").repartition(3).drop("more"), "User", "User")
+    both = lambda: rows(graph.query(Query.match("u:User").traverse("u", "P", "f:User", alias="e").select("u.id", "f.id", "e.since")))
+    got = both()
+    assert len(got) == 2 and got == both() and dict((r[0], r[2]) for r in got)[1] in (2019, 2020, 2022)
+    assert graph.update(Update.match(Query.match("u:User").traverse("u", "P", "f:User", alias="e").where("e.since", "=", 2022)).set("e.since", 1)).updated == 1
+    assert sorted(r.since for r in graph.edge_frame("P").filter("source_id = 1").collect()) == [1, 2019, 2020]
+    assert graph.edge_frame("P").agg(F.countDistinct("id")).first()[0] == 4
+    assert graph.delete_edges("KNOWS", ("User", F.col("id") == 1)) == 1
+
+
+def test_json_of_edge_properties(spark):
+    graph = Graph(spark)
+    graph.create_edge_schema("K", {"since": "int64", "what": "string", "weight": "double", "tags": "array<string>", "props": "map"})
+    graph.connect(0, "K", 1, since=2**60, what='say "hi"\n\\', weight=0.1, tags=["a", None], props={"x": 1, "y": 'q"', "z": True, "r": 0.25})
+    graph.connect(0, "K", 2)
+    told = graph.edges_as_json("K").orderBy("id").collect()
+    assert json.loads(told[0].properties) == {"since": 2**60, "what": 'say "hi"\n\\', "weight": 0.1, "tags": ["a", None], "props": {"x": 1, "y": 'q"', "z": True, "r": 0.25}} and told[1].properties == "{}"
+    graph.create_edge_schema("L", {"since": "int64", "what": "string", "weight": "double", "tags": "array<string>", "props": "map"})
+    assert graph.connect_json("L", graph.edges_as_json("K")) == 2
+    plain = lambda t: sorted((r.target_id, r.since, r.what, r.weight, r.tags, r.props and {k: v["i64"] if v["i64"] is not None else v["s"] or v["b"] or v["f64"] for k, v in r.props.items()}) for r in graph.edge_frame(t).collect())
+    assert plain("L") == plain("K")
+
+
+def test_update_node(spark):
+    graph = workers(spark)
+    assert graph.update_node("User", 0, "age", 31).updated == 1 and graph.update_node("User", 77, "age", 1).failed == 1
+    assert graph.update_node_fields("User", 1, {"age": 36, "city": "LA"}).updated == 1
+    assert values(graph, "User", "age", "city")[:2] == [(0, 31, "NYC"), (1, 36, "LA")]
+    assert graph.update_node_fields("User", 1, {"age": "old", "city": "SF"}).failed == 1
+
+
+def test_versions_of_bulk_nodes(spark):
+    clock = ManualClock(T0)
+    graph = Graph(spark, Config(versioning=True, clock=clock, checkpoint_every=2))
+    graph.use_nodes("User", spark.createDataFrame([(i, f"n{i}", 25 + i) for i in range(4)], "id long, name string, age int"))
+    at = lambda t, **kw: rows(graph.query(Query.match("u:User").as_of_valid_time(t).select("u.id", "u.age")))
+    for k, now in enumerate((T1, T2, T2 + 1, T2 + 2, T3)):
+        clock.now = now
+        graph.update(Update.match(Query.match("u:User").where("u.id", "<", 2)).set("u.age", 50 + k))
+    graph.create_nodes("User", spark.createDataFrame([("new", 1)], "name string, age int"))
+    first = [(0, 25), (1, 26), (2, 27), (3, 28)]
+    assert at(T0 - 1) == [] and at(T0) == first and at(T1 - 1) == first
+    for k, now in enumerate((T1, T2, T2 + 1, T2 + 2)):
+        assert at(now) == [(0, 50 + k), (1, 50 + k), (2, 27), (3, 28)]
+    assert at(T3) == [(0, 54), (1, 54), (2, 27), (3, 28), (4, 1)]
+    clock.now = T3 + 1
+    graph.update_node("User", 2, "age", 27)  # changes nothing, and is a version all the same
+    assert sorted(r[:] for r in graph.version_counts("User").collect()) == [(0, 6), (1, 6), (2, 2), (3, 1), (4, 1)]
+    both = lambda v, t: rows(graph.query(Query.match("u:User").as_of(v, t).where("u.id", "=", 0).select("u.age")))
+    assert both(T0, T3) == [(25,)] and both(T2, T2) == [(51,)] and both(T2, T1) == []
+    assert rows(graph.query(Query.match("u:User").as_of_tx_time(T2).where("u.id", "=", 0).select("u.age"))) == [(51,)]
+    graph.delete_node("User", 0)
+    assert (0, 25) not in at(T0) and (0, 51) not in at(T2)
+
+
 def test_edges_by_end_and_deletion(spark):
     graph = workers(spark)
     assert {r.target_id for r in graph.outgoing(0, "FRIEND").collect()} == {1, 2}
@@ -186,6 +287,8 @@ def test_without_versions_as_of_reads_the_present(spark):
 
 def test_scans(spark):
     graph = workers(spark)
+    assert [r.id for r in graph.scan_edges("FRIEND").collect()] == [0, 1, 2, 3, 4]
+    assert list(graph.iter_values("Company", "size")) == [5000, 50, 10000] and graph.column("Company", "name").count() == 3
     graph.config = Config(chunk_size=4)
     assert [r.id for r in graph.scan("User").collect()] == list(range(10))
     assert [len(c) for c in graph.chunks("User")] == [4, 4, 2]

@@ -2,7 +2,8 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import compare
-from weftgraph.cli import main
+from weftgraph.cli import completions, main
+from weftgraph.graph import Graph
 from weftgraph.queries import QUERIES, SQL
 
 
@@ -22,3 +23,10 @@ def test_command_line(spark, tmp_path, capsys):
     output = tmp_path / "out"
     assert main(["--script", str(script), "--db-path", str(tmp_path / "db"), "--output", str(output), "--batch"]) == 1
     assert '"Ann"' in capsys.readouterr().out and "4 executed, 1 failed" in output.read_text()
+
+
+def test_completion(spark):
+    graph = Graph(spark)
+    graph.create_schema("Member", {"nickname": "string"})
+    graph.create_edge_schema("MEETS", {"minutes": "int64"})
+    assert completions(graph, "M") == ["MATCH", "MEETS", "Member"] and completions(graph, "ni") == ["nickname"] and completions(graph, "mi") == ["minutes"] and completions(graph, "zz") == []

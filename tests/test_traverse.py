@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tests.graphs import people, rows, staff
 from weftgraph.errors import Invalid, NotFound, Unsupported
@@ -209,3 +210,53 @@ def test_random_within_a_schema(spark, seed):
     for how, want in (("RIGHT", kept + right), ("FULL", kept + right + left)):
         got = graph.query(Query.match("a:N").traverse("a", "E", "b:N", how).select("a.id", "b.id"))
         assert rows(got) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("first", ["INNER", "LEFT"])
+def test_random_within_a_schema_on_a_later_hop(spark, seed, first):
+    """The sources are those of the rows so far; a row whose node is the source of no match stays alone."""
+    rng = random.Random(f"{seed}{first}")
+    n = 6
+    one, two = ({(a, b) for a in range(n) for b in range(n) if rng.random() < share} for share in (0.25, 0.2))
+    graph = Graph(spark)
+    graph.use_nodes("N", spark.createDataFrame([(i, str(i)) for i in range(n)], "id long, name string"))
+    graph.use_edges("A", spark.createDataFrame(sorted(one) * 2, "source_id long, target_id long"))
+    graph.use_edges("B", spark.createDataFrame(sorted(two) * 2, "source_id long, target_id long"))
+    prefix = sorted(one) + ([(a, None) for a in range(n) if a not in {x for x, _ in one}] if first == "LEFT" else [])
+    pairs = [(a, b, c) for a, b in prefix for x, c in two if x == b]
+    sources = {b for _, b, _ in pairs}
+    kept = [p for p in pairs if p[2] not in sources]
+    alone = [(a, b, None) for a, b in prefix if b not in sources]
+    far = [(None, None, c) for c in range(n) if c not in sources and c not in {p[2] for p in kept}]
+    for how in ("RIGHT", "FULL"):
+        got = graph.query(Query.match("a:N").traverse("a", "A", "b:N", first).traverse("b", "B", "c:N", how).select("a.id", "b.id", "c.id"))
+        assert rows(got) == sorted(kept + alone + far, key=repr)
+
+
+def test_parallel_edges_after_any_hop(spark):
+    """Parallel edges with and without properties, on every kind of hop and on a hop between known nodes."""
+    graph = Graph(spark)
+    for name in "AB":
+        graph.use_nodes(name, spark.createDataFrame([(i, str(i)) for i in range(3)], "id long, name string"))
+    edges = [(k, k % 2, k // 2 % 2, f"p{k}") for k in range(8)] + [(9, 0, 7, "far")]
+    graph.use_edges("E", spark.createDataFrame(edges, "id long, source_id long, target_id long, p string"))
+    best = {(0, 0): "p4", (1, 0): "p5", (0, 1): "p6", (1, 1): "p7"}
+    for how, more in (("INNER", []), ("LEFT", [(2, None, None)]), ("RIGHT", [(None, 2, None)]), ("FULL", [(2, None, None), (None, 2, None)])):
+        told = Query.match("a:A").traverse("a", "E", "b:B", how, alias="e").select("a.id", "b.id", "e.p")
+        assert rows(graph.query(told)) == sorted([(*k, v) for k, v in best.items()] + more, key=repr), how
+        plain = Query.match("a:A").traverse("a", "E", "b:B", how).select("a.id", "b.id")
+        assert rows(graph.query(plain)) == sorted([*best, *(m[:2] for m in more)], key=repr), how
+    closed = Query.match("a:A").traverse("a", "E", "b:B").traverse("a", "E", "b", alias="e").select("a.id", "b.id", "e.p")
+    assert rows(graph.query(closed)) == sorted((*k, v) for k, v in best.items())
+
+
+def test_a_selective_hop_shuffles_no_edge_table(spark):
+    graph = Graph(spark)
+    graph.use_nodes("A", spark.range(100).select("id", F.col("id").cast("string").alias("name")))
+    edges = spark.range(1000).select((F.col("id") % 100).alias("source_id"), (F.col("id") % 7).alias("target_id"), F.col("id").alias("w"))
+    graph.use_edges("E", edges)
+    df = graph.query(Query.match("a:A").where("a.id", "=", 3).traverse("a", "E", "b:A").select("a.id", "b.id")).df
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join")  # parallel edges are made one above the join
+    assert df.count() == 7

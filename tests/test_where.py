@@ -1,10 +1,13 @@
+import operator
+
 import pytest
 
 from tests.graphs import rows, workers
 from weftgraph.errors import Invalid, NotFound, TypeMismatch
 from weftgraph.functions import maps
 from weftgraph.graph import Graph
-from weftgraph.plans.expressions import Comparison
+from weftgraph.lang.runner import execute
+from weftgraph.plans.expressions import Comparison, Path
 from weftgraph.plans.query import Item, Query, Where
 from weftgraph.types import TAGS, tagged
 
@@ -114,3 +117,33 @@ def test_json_maps(spark):
     assert {k: v.tag for k, v in got[0].m.items()} == {"a": TAGS["int64"], "b": TAGS["double"], "c": TAGS["bool"], "d": TAGS["string"]}
     assert (got[0].m["a"].i64, got[0].m["b"].f64, got[0].m["c"].b, got[0].m["d"].s) == (1, 1.5, True, "x")
     assert got[1].m is None and got[2].m == {}
+
+
+def test_whole_numbers_in_maps_are_compared_exactly(spark):
+    graph = Graph(spark)
+    graph.create_schema("M", {"props": "map"})
+    values = [2**53, 2**53 + 1, -(2**63), 2**63 - 1, 2, 3, -3, 2.5, 2.0**53, None, "x"]
+    for v in values:
+        graph.create_node("M", props={"k": v})
+    tests = {"=": operator.eq, "!=": operator.ne, ">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+    for bound in (2**53, 2**53 + 1, 2.5, -2.5, 2.0, 2**63 - 1, 1e30, -1e30, 3, float("inf")):
+        for op, test in tests.items():
+            got = [r[0] for r in rows(graph.query(Query.match("m:M").where("m.props.k", op, bound).select("m.id")))]
+            want = [i for i, v in enumerate(values) if (test(v, bound) if isinstance(v, (int, float)) and (isinstance(v, int) or not isinstance(bound, int) or abs(bound) < 2**53) else None if isinstance(v, float) else op == "!=")]
+            drop = [8] if isinstance(bound, int) and abs(bound) >= 2**53 else []  # a double is compared as a double
+            assert [i for i in got if i not in drop] == [i for i in want if i not in drop], (op, bound)
+
+
+def test_fields_compared_with_fields(spark):
+    graph = workers(spark)
+    hop = lambda *where: Query.match("u:User").traverse("u", "FRIEND", "f:User").where(*where).select("u.id", "f.id")
+    assert rows(graph.query(hop("u.age", ">", Path("f.age")))) == [(1, 3)]
+    assert rows(graph.query(hop("u.city", "=", Path("f.city")))) == [(0, 1)]
+    assert rows(graph.query(Query.match("u:User").where("u.salary", "<", Path("u.age")))) == []
+    assert rows(graph.query(Query.match("u:User").where("u.name", "CONTAINS", Path("u.name")).and_where("u.id", "<", 2).select("u.id"))) == [(0,), (1,)]
+    assert [r[:] for r in execute(graph, "MATCH (u:User)-[:FRIEND]->(f:User) WHERE f.age < u.age AND u.salary > 0 SELECT u.id, f.id;").collect()] == [(1, 3)]
+    for where in (("u.name", ">", Path("f.age")), ("u.age", "CONTAINS", Path("f.age"))):
+        with pytest.raises(TypeMismatch):
+            graph.query(hop(*where))
+    with pytest.raises(NotFound):
+        graph.query(hop("u.age", "=", Path("x.age")))

@@ -393,7 +393,7 @@ class Graph:
             if a.key is not None:
                 if type.kind != "map":
                     raise TypeMismatch(f"{a.field} is no map")
-                out[a.field] = maps.set_key(now, a.key, a.value)
+                out[a.field] = maps.remove_key(now, a.key) if a.remove else maps.set_key(now, a.key, a.value)
             elif append:
                 if type.kind != "array":
                     raise TypeMismatch(f"{a.field} is no array")
@@ -423,18 +423,6 @@ class Graph:
             update = update.append(name, value) if append else update.set(name, value)
         return self.update(update)
 
-    def remove_key(self, schema: str, id: int, field: str, key: str) -> UpdateResult:
-        """Remove a key from a node's map."""
-        kind = self.catalog.node(schema)
-        if kind.field(field).type.kind != "map":
-            raise TypeMismatch(f"{field} is no map")
-        try:
-            self.get_node(schema, id)
-        except GraphError as error:
-            return UpdateResult(0, 1, [str(error)])
-        self._apply(schema, F.col("id") == id, {field: maps.remove_key(F.col(field), key)})
-        return UpdateResult(1)
-
     def update(self, update: GraphUpdate | Update) -> UpdateResult:
         """Update one node by id, or what a pattern matches: each node and edge once, however many rows it stands in."""
         update = update.build() if isinstance(update, Update) else update

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -45,6 +46,7 @@ def _assignments(pairs: tuple[tuple[str, Any], ...], with_alias: bool) -> tuple[
 def execute(graph: Graph, text: str) -> DataFrame | UpdateResult | int | str | None:
     """Run one statement: a DataFrame for MATCH and SHOW, the id or number for CREATE and DELETE, the result of an UPDATE."""
     s = p.parse(text)
+    log.debug("%s", s)
     match s:
         case p.CreateSchema(edge=True):
             graph.create_edge_schema(s.name, s.fields)
@@ -118,7 +120,9 @@ def run_script(graph: Graph, text: str, write: Callable[[str], None] = print) ->
     done = ScriptResult()
     for one in statements(text):
         try:
+            began = time.perf_counter()
             write(describe(execute(graph, one)))
+            log.info("%.3f s: %s", time.perf_counter() - began, one.strip())
             done.executed += 1
         except GraphError as error:
             log.debug("failed: %s", one, exc_info=True)

@@ -155,6 +155,7 @@ class Assignment:
     value: Any
     key: str | None = None
     deep: bool = False
+    remove: bool = False  # the key is removed
 
 
 @dataclass(frozen=True)
@@ -203,5 +204,13 @@ class Update:
         self._update = replace(self._update, append=True)
         return self.set(path, value)
 
+    def remove(self, path: str) -> Update:
+        """Removes a key of a map."""
+        last = self.set(path, None)._update.assignments[-1]
+        if last.key is None:
+            raise Invalid(f"{path} names no key of a map")
+        self._update = replace(self._update, assignments=(*self._update.assignments[:-1], replace(last, remove=True)))
+        return self
+
     def build(self) -> GraphUpdate:
         return self._update
