@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import broadcast_if_small, materialize
+from .scratch import broadcast_if_small, materialize, small
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 CAP = 3  # no source, and no document, is taken more than so many times
 BITS, LEVELS = 12, 3  # bits of the hash a level
+MOST_SOURCES = 200_000  # up to so many sources are shared out in one task
 
 
 def n_words(text: Column) -> Column:
@@ -23,12 +24,36 @@ def n_words(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, source_size) to (source, source_size, target). One row a source, so one task holds them all.
+    """(source, source_size) to (source, source_size, target), one row a source.
 
     Shares go by weight; a source stops at cap times its size and its excess is shared by weight among the rest, until
-    none is above: with the sources in order of cap over weight, the capped ones come first, and the first source that
-    its share fits sets the share a unit of weight of all after it.
+    none is above. Up to MOST_SOURCES one task sorts them by cap over weight: the capped ones come first, and the first source
+    that its share fits sets the share a unit of weight of all after it. More are ranked by range and shared out by
+    repeated aggregation, which ends at the same share.
     """
+    sizes = materialize(sizes, "sizes")
+    if small(sizes, MOST_SOURCES):
+        return _shared_in_one(sizes, weights, cap)
+    ranged = sizes.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    placed = materialize(ranged.withColumn("row", F.monotonically_increasing_id()), "ranked")
+    counts = placed.groupBy(F.shiftright("row", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    bases = broadcast_if_small(counts.select("part", before.alias("base")))
+    rank = F.col("base") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")).cast("double")
+    tops = placed.withColumn("part", F.shiftright("row", 33)).join(bases, "part").select("source", "source_size", weight.alias("weight"), (F.col("source_size") * cap).cast("double").alias("top"))
+    total = float(tops.agg(F.sum("source_size")).first()[0])
+    unit, capped = None, -1
+    while True:
+        over = F.lit(False) if unit is None else F.col("top") < F.col("weight") * unit
+        got = tops.agg(F.sum(over.cast("long")).alias("n"), F.coalesce(F.sum(F.when(over, F.col("top"))), F.lit(0.0)).alias("top"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if got["n"] == capped or not got["weight"]:
+            break
+        unit, capped = (total - got["top"]) / got["weight"], got["n"]
+    return tops.select("source", "source_size", F.least("top", F.col("weight") * unit).alias("target"))
+
+
+def _shared_in_one(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weighted = sizes.withColumn("rank", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("rank") % len(weights) + 1).cast("int")).cast("double"))
     weighted = weighted.withColumn("top", (F.col("source_size") * cap).cast("double"))
