@@ -21,6 +21,7 @@ ORDER = 3
 SYMBOLS = 2048  # code points share letter vectors modulo this; 0 is the border of a word
 #: Documents of a language that teach its prototype, in expectation; chosen by hash of the doc_id, so the sample is bounded.
 TEACH = 1500
+LANGUAGES = 4096  # languages taught at most: those with the most documents
 BLOCK = 4096  # n-grams bound at once
 UNKNOWN = "und"
 
@@ -72,17 +73,13 @@ def bundle(text: str | None, dimensions: int = DIMENSIONS) -> np.ndarray:
 def teach(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = TEACH, dimensions: int = DIMENSIONS) -> tuple[list[str], np.ndarray]:
     """Languages and their prototypes (rows of length 1), from about per_language documents of each, chosen by hash of the doc_id.
 
-    Rows without a doc_id or language don't teach; those without a text are chosen like others and add nothing.
+    Of more than LANGUAGES languages those with the most documents are taught. Rows without a doc_id or language don't teach; those without a text are chosen like others and add nothing.
     """
     rows = labelled.select("doc_id", F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("doc_id IS NOT NULL AND lang IS NOT NULL")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return [], np.zeros((0, dimensions), np.float32)
-    share = None
-    for name, n in counts.items():
-        limit = int(2**32 * min(1.0, per_language / n))
-        share = F.when(F.col("lang") == name, limit) if share is None else share.when(F.col("lang") == name, limit)
-    sample = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < share).select("lang", "text")
+    most = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "lang").limit(LANGUAGES)
+    limit = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("n")) * 2.0**32
+    chosen = rows.join(F.broadcast(most), "lang")  # LANGUAGES rows at most
+    sample = chosen.filter(F.pmod(F.xxhash64("doc_id"), F.lit(2**32)) < limit).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
