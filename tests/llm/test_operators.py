@@ -75,6 +75,19 @@ def test_mixing(docs, rows):
     assert abs(totals.target.sum() - got["size"].sum()) < 1e-6
 
 
+def test_many_sources_are_shared_out_by_aggregation(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
+    rng = random.Random(7)
+    names = [f"s{i}" for i in range(40)] + ["é", "🙂", "", None]
+    sizes = [(n, int(10 ** rng.uniform(0, 6)) if rng.random() < 0.9 else 0) for n in names]
+    frame = spark.createDataFrame(sizes, "source string, source_size long").repartition(5)
+    got = {r.source: r.target for r in mixing.source_targets(frame).collect()}
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 1000)
+    want = {r.source: r.target for r in mixing.source_targets(frame).collect()}
+    assert got == want and len(got) == len(names)
+    assert mixing.source_targets(spark.createDataFrame([], "source string, source_size long")).count() == 0
+
+
 def test_mixed_documents(docs):
     mix = mixing.Mix(docs)
     taken = mix.table().agg(F.sum("copies")).first()[0]
@@ -427,6 +440,50 @@ def test_substring(spark, docs, rows, length, seed):
     assert sorted((r.doc_id or -1, words(r.kept)) for r in plain) == sorted((d, words(t)) for d, t in texts)
 
 
+def test_language_equals_brute_force(spark):
+    """Trigrams bound one by one, bundled in dicts, and cosines by the definition."""
+    rng = random.Random(4)
+    alphabet = {"aa": "abcde é", "bb": "klmno -", "cc": "вгде ж"}
+    docs = [(i, rng.choice(sorted(alphabet))) for i in range(60)]
+    docs = [(i, "".join(rng.choice(alphabet[k] + "xyz ") for _ in range(rng.randint(1, 80))), k) for i, k in docs] + [(90, "", "aa"), (91, None, "bb"), (92, "12 34", "cc"), (93, "Ünï e", None), (94, "日本 x", "aa"), (None, "abc", "aa")]
+    names, prototypes = langid.teach(spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(3))
+    got = {r.doc_id: r for r in langid.identify(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), (names, prototypes)).collect()}
+    base = np.random.Generator(np.random.PCG64(7)).integers(0, 2, (langid.SYMBOLS, langid.DIMENSIONS), np.int8) * 2 - 1
+
+    def bundle(text):
+        symbols = [1 + ord(c) % (langid.SYMBOLS - 1) if c.isalpha() else 0 for c in f" {(text or '').lower()} "]
+        symbols = [s for i, s in enumerate(symbols) if i == 0 or s or symbols[i - 1]]
+        out = np.zeros(langid.DIMENSIONS)
+        for i in range(len(symbols) - 2 if any(symbols) else 0):
+            bound = np.ones(langid.DIMENSIONS)
+            for place in range(3):
+                bound *= np.roll(base[symbols[i + place]], place)
+            out += bound
+        return out
+
+    sums = {}
+    for i, text, k in docs:
+        v = bundle(text)
+        if i is not None and k is not None and v.any():
+            sums[k] = sums.get(k, 0) + v / np.linalg.norm(v)
+    assert names == sorted(sums)
+    for i, text, _ in docs:
+        v = bundle(text)
+        if not v.any():
+            assert (got[i].lang_pred, got[i].score) == ("und", 0)
+            continue
+        cosines = [v @ sums[k] / np.linalg.norm(v) / np.linalg.norm(sums[k]) for k in names]
+        best = int(np.argmax(cosines))
+        assert got[i].score == pytest.approx(max(cosines[best], 0), abs=1e-5)
+        assert got[i].lang_pred == names[best] or max(cosines) - cosines[names.index(got[i].lang_pred)] < 1e-5
+
+
+def test_only_so_many_languages_are_taught(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    docs = [(i, f"text {k}", f"l{k}") for k in range(6) for i in range(k * 10, k * 10 + k + 1)]
+    assert langid.teach(spark.createDataFrame(docs, "doc_id long, text string, lang string"))[0] == ["l3", "l4", "l5"]
+
+
 def test_language(spark):
     all_docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -579,6 +636,35 @@ def test_near_duplicates_in_a_large_group(spark):
     assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
 
 
+def test_near_duplicates_of_random_variants(spark):
+    """200 groups of variants at once, each of one text, with 1 to 6 edits; every component equals that of brute force."""
+    rng = random.Random(17)
+    rows = []
+    for group in range(200):
+        length, n = rng.randint(60, 200), rng.choice([40, 40, 60, 150])
+        base = [f"g{group}_{i}" for i in range(length)]
+        most = rng.choice([2, 4, 6])
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randint(1, most)):
+                at = rng.randrange(len(w))
+                rng.choice([lambda: w.__setitem__(at, f"x{rng.randrange(10**9)}"), lambda: w.pop(at), lambda: w.insert(at, "y")])()  # noqa: B023
+            rows.append({"doc_id": len(rows), "text": " ".join(w)})
+    rng.shuffle(rows)
+    got = minhash.near_duplicates(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(4)).collect()
+    assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+
+
+def test_near_duplicates_under_one_id(spark):
+    """A third of the rows share an id and have texts of their own; another third are one row."""
+    rng = random.Random(3)
+    text = lambda k, *changed: " ".join(f"t{k}_{j}" if j not in changed else f"x{rng.randrange(10**6)}" for j in range(100))
+    rows = [{"doc_id": 50, "text": text(k % 70, k % 90)} for k in range(400)]
+    rows += [{"doc_id": 60, "text": text(1, 5)}] * 400 + [{"doc_id": 70 + k, "text": text(k % 90, 3, k % 80)} for k in range(200)] + [{"doc_id": 9, "text": text(2, 40)}, {"doc_id": 50, "text": ""}, {"doc_id": None, "text": text(3)}]
+    got = minhash.near_duplicates(spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id or -1, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
+
+
 def families():
     """Texts of one core, just unlike each other, of which some pairs are alike: no centre is like them."""
     rng = random.Random(8)
@@ -614,11 +700,65 @@ def test_pipeline_drops_near_duplicates_from_80_percent(spark):
 
 def test_pipeline_drops_near_duplicates_without_ids(spark):
     text = lambda k, *changed: " ".join(f"t{k}_{j}" if j not in changed else f"x{j}" for j in range(100))
-    rows = [(None, text(1)), (None, text(1)), (None, text(1, 20)), (7, text(2)), (None, text(2)), (None, text(2, 50)), (8, text(3)), (8, text(3, 40)), (None, text(4)), (None, None), (None, "")]
+    rows = [(None, text(1)), (None, text(1)), (None, text(1, 20)), (7, text(2)), (None, text(2)), (None, text(2, 50)), (8, text(3)), (8, text(3, 40)), (None, text(4)), (None, None), (None, ""), (8, text(5)), (9, text(6)), (9, text(6)), (11, text(7)), (10, text(7, 30))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     kept = [tuple(r) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
-    assert len([r for r in kept if r[1] and r[1].startswith("t1_")]) == 1
-    assert sorted((r for r in kept if not (r[1] and r[1].startswith("t1_"))), key=repr) == sorted([rows[3], *rows[6:]], key=repr)
+    groups = Counter((r[1] or "none").split("_")[0] for r in kept)
+    assert groups == {"t1": 1, "t2": 1, "t3": 1, "t4": 1, "t5": 1, "t6": 1, "t7": 1, "none": 2}
+    assert {rows[3], rows[8], rows[11], rows[12], rows[15]} <= set(kept)  # the least id stays, and one without an id only alone
+
+
+def test_pipeline_equals_brute_force(spark):
+    """All five stages on a small table, each with the documents that the one before kept."""
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in ("ta", "lo", "mi", "ren", "su") for b in ("ka", "de", "vor", "nim", "pel", "qua", "zo")]
+    line = lambda n: [rng.choice(vocabulary) + str(rng.randrange(50)) for _ in range(n)]
+    passage, rows = line(60), []
+    for i in range(40):
+        w = line(rng.randint(40, 120))
+        if i % 8 == 0:
+            w[20:20] = passage
+        rows.append((i, " ".join(w), "en", rng.choice(["a", "b", None]), 0))
+        if i % 5 == 0:  # a near copy, and an exact one
+            v = list(w)
+            v[3] = "other"
+            rows += [(100 + i, " ".join(v), "en", "c", 0), (200 + i, " ".join(w), "en", "a", 0)]
+    rows += [(300, "too short", "en", "a", 0), (301, "again and again " * 40, "en", "a", 0), (302, None, None, None, None), (303, "", "en", "b", 0)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+    good = [r for r in rows if r[0] < 300]
+    single_ids = {d for d, _, c in brute_components([{"doc_id": r[0], "text": r[1]} for r in good], 80) if (0 if d == -1 else d) == c}
+    single = [r for r in good if (r[0] or -1) in single_ids]
+    assert len(single) == 40
+    times = Counter(tuple(w[i : i + 35]) for r in single for w in [words(r[1])] for i in range(len(w) - 34))
+    clean = []
+    for r in single:
+        w = words(r[1])
+        gone = {j for i in range(len(w) - 34) if times[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        text = " ".join(x for j, x in enumerate(w) if j not in gone) if gone else r[1]
+        clean.append((r[0], text, r[2], r[3], len(text)))
+    assert sum(len(words(r[1])) for r in clean) == sum(len(words(r[1])) for r in single) - 60 * 5
+    db = duckdb.connect()
+    db.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_chars BIGINT)")
+    db.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", clean)
+    taken = {d: t // s for d, s, t in db.sql(f"SELECT doc_id, size, taken FROM ({mixing.MIX_SQL})").fetchall()}
+    tokenizer = packing.Encoder(packing.TOKENIZER).tokenizer
+    want = Counter({(r[0], tuple(tokenizer.encode(r[1], add_special_tokens=False).ids) + (1,)): taken[r[0]] for r in clean if taken[r[0]]})
+
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        now = stage(spark, now, "")
+    assert sorted(tuple(r) for r in now.select("doc_id", "text", "lang", "source", "n_chars").collect()) == sorted(clean)
+    mixed = corpus_pipeline.mix_sources(spark, now, "")
+    pieces = corpus_pipeline.pack_sequences(spark, mixed, "").collect()
+    place, got, current = sorted(pieces, key=lambda r: (r.sequence_id, r.offset)), Counter(), []
+    for r in place:
+        assert r.ids_crc32 == zlib.crc32(r.ids)
+        current += np.frombuffer(r.ids, "<u4").tolist()
+        if len(current) == r.doc_tokens:
+            got[r.doc_id, tuple(current)] += 1
+            current = []
+    assert got == want and not current
 
 
 def test_common():

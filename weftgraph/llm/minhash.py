@@ -98,8 +98,8 @@ def _sketches(shingle: int, bands: int, rows: int):
                 if some.any():
                     keys[some] = sketcher.keys(sketcher.densify(values[some], full[some]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), tk.lists(keys[some].ravel().view(np.int64), np.where(some, bands, 0), pa.int64())],
-                    ["node", "n_shingles", "h1", "h2", "bands"],
+                    [part.column(0), part.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), tk.lists(keys[some].ravel().view(np.int64), np.where(some, bands, 0), pa.int64())],
+                    ["node", "told", "n_shingles", "h1", "h2", "bands"],
                 )
 
     return run
@@ -241,22 +241,27 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     """One row a document: doc_id, n_shingles, component_id (least doc_id reachable by links), kept.
 
     Two documents are linked if the Jaccard similarity of their shingle sets is percent or more. Null, empty and
-    wordless texts have no shingles and link with nothing. Rows that share a doc_id count as one node. A row without
-    a doc_id gets the component_id of what it links with, null if nothing there has an id, and is kept only then.
+    wordless texts have no shingles and link with nothing. Rows that share a doc_id are linked by their texts, like others; a
+    row without a doc_id gets the component_id of what it links with, null if nothing there has an id, and is kept only then.
     """
     node = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID) + F.xxhash64("text").bitwiseAND(F.lit((1 << 60) - 1)))
-    texts = docs.select(node.alias("node"), F.col("text").cast("string").alias("text"))
-    schema = "node bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
-    sketches = materialize(texts.mapInArrow(_sketches(shingle, bands, rows), schema), "sketches")
+    texts = docs.select(node.alias("node"), F.col("text").cast("string").alias("text")).withColumn("told", F.xxhash64("text"))
+    schema = "node bigint, told bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>"
+    sketches = materialize(texts.select("node", "text", "told").mapInArrow(_sketches(shingle, bands, rows), schema), "sketches")
 
+    # A class is all rows with the same set; its text is that of its least row, found by node and hash.
     same = ["h1", "h2", "n_shingles"]
-    classes = materialize(sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min("node").alias("rep"), F.first("bands").alias("bands")), "classes")
-    keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key")).groupBy("rep", "key").agg(F.max("n_shingles").alias("n_shingles"))
+    classes = sketches.filter("n_shingles > 0").groupBy(*same).agg(F.min(F.struct("node", "told")).alias("least"), F.first("bands").alias("bands"))
+    classes = materialize(classes.select(*same, "least.*", "bands").withColumn("rep", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(shuffled_join(keyed, shared, ["key"]), "members")
     weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
     members = materialize(shuffled_join(members, weight, ["rep"]).select("key", "rep", "n_shingles", "weight"), "weighted")
-    candidate_texts = materialize(shuffled_join(texts.withColumnRenamed("node", "rep"), weight.select("rep"), ["rep"]), "texts")
+    if sketches.groupBy("node", "told").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # rows that stand twice
+        texts = texts.groupBy("node", "told").agg(F.first("text").alias("text"))
+    wanted = shuffled_join(classes.select("rep", "node", "told"), members.select("rep").distinct(), ["rep"])
+    candidate_texts = materialize(shuffled_join(texts, wanted, ["node", "told"]).select("rep", "text"), "texts")
 
     # A bucket's centre is its heaviest class.
     centres = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("u"))
@@ -278,11 +283,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     if more.limit(1).count():
         comps = materialize(components(links.unionByName(more)), "components")
 
-    labels = classes.select(*same, F.col("rep").alias("component"))
-    labels = labels.join(comps.withColumnRenamed("component", "least"), labels["component"] == F.col("id"), "left")
-    labels = labels.select(*same, F.coalesce("least", "component").alias("component"))
-    rowsets = sketches.select("node", *same)
-    joined = shuffled_join(rowsets, materialize(labels, "labels"), same, "left")
+    # From classes back to rows: the least node of a component, of all its classes.
+    nodes = materialize(shuffled_join(classes.select(F.col("rep").alias("id"), "node"), comps, ["id"]), "nodes")
+    least = nodes.groupBy("component").agg(F.min("node").alias("least"))
+    least = shuffled_join(nodes.select("id", "component"), least, ["component"]).select(F.col("id").alias("rep"), "least")
+    labels = shuffled_join(classes.select("rep", *same, "node"), least, ["rep"], "left").select(*same, F.coalesce("least", "node").alias("component"))
+    joined = shuffled_join(sketches.select("node", *same), materialize(labels, "labels"), same, "left")
     component = F.coalesce("component", "node")
     own = F.when(F.col("node") < NO_ID, F.col("node"))
     group = F.when(component < NO_ID, component)
