@@ -403,7 +403,7 @@ def test_url_scores_and_verdicts_equal_brute_force(spark, monkeypatch, broadcast
     urls = [r.url for r in spark.read.parquet(f"{DATA}/pages.parquet").select("url").collect()][:150] + ["http://é日本🙂.zz/пример/Ω", "no rule", "", "http://" + "long" * 300 + ".zz/"]
     got = urlfilter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).toPandas().sort_values("page_id")
     ruled = [None if pd.isna(r) else v for r, v in zip(got.rule, got.verdict, strict=True)]
-    held = lambda url: zlib.crc32(url.encode()) % urlfilter.HELD == 0
+    held = lambda url: int(hashlib.md5(url.encode()).hexdigest()[:8], 16) % urlfilter.HELD == 0
     score = brute_url_scores(list(zip(urls, ruled, strict=True)), held)
     want = np.array([round(score(u), 9) for u in urls])
     free = got.rule.isna().to_numpy()

@@ -104,7 +104,7 @@ def _sql() -> dict[str, str]:
     from . import sql
     from .mixing import MIX_SQL
 
-    return {"op1_mixing": MIX_SQL, "op2_quality": sql.QUALITY, "op5_substring": sql.SUBSTRING, "op7_quotes": sql.QUOTES, "op9_minhash": sql.NEAR, "op10_topk": TOPK_SQL}
+    return {"op1_mixing": MIX_SQL, "op2_quality": sql.QUALITY, "op4_urlfilter": sql.urls(), "op5_substring": sql.SUBSTRING, "op7_quotes": sql.QUOTES, "op9_minhash": sql.NEAR, "op10_topk": TOPK_SQL}
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -84,3 +84,44 @@ SELECT m.conv_id, m.turn, m.role, reply_to, coalesce(thread, m.turn) AS thread,
 FROM messages m JOIN depths USING (rid) LEFT JOIN counted USING (rid) LEFT JOIN kept USING (rid)
 LEFT JOIN answers ON m.conv_id = answers.conv_id AND m.turn = answers.turn LEFT JOIN linked ON m.conv_id = linked.conv_id AND m.turn = linked.turn
 LEFT JOIN threads ON m.conv_id = threads.conv_id AND m.turn = threads.turn"""
+
+
+def urls() -> str:
+    """The URL filter: rules, then the models level by level, scores, and the calibrated cut."""
+    from . import urlfilter as u
+
+    longest = sorted(u.RULES, key=lambda r: -len(r.text))
+    fits = lambda r: f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN"
+    rule, ruled = (f"CASE {' '.join(f"{fits(r)} '{what(r)}'" for r in longest)} END" for what in (lambda r: r.text, lambda r: r.verdict))
+    levels = []
+    for order in range(1, u.ORDER + 1):
+        p = ", ".join(f"CASE WHEN n_{k} >= {u.EVIDENCE} THEN ({k} + kinds_{k} * q.p_{k}) / (n_{k} + kinds_{k}) ELSE q.p_{k} END AS p_{k}" for k in ("allow", "block"))
+        met = ", ".join(f"sum({k}) OVER c AS n_{k}, count(*) FILTER ({k} > 0) OVER c AS kinds_{k}" for k in ("allow", "block"))
+        levels.append(f"""
+sums{order} AS (SELECT substr(gram, {u.ORDER - order + 1}) AS gram, sum(allow)::DOUBLE AS allow, sum(block)::DOUBLE AS block FROM counts GROUP BY ALL),
+met{order} AS (SELECT *, {met} FROM sums{order} WINDOW c AS (PARTITION BY substr(gram, 1, {order}))),
+known{order} AS (SELECT m.gram, {p} FROM met{order} m JOIN known{order - 1} q ON substr(m.gram, 2) = q.gram),""")
+    return rf"""
+WITH parts AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (
+  SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, ('0x' || substr(md5(url), 1, 8))::BIGINT % {u.HELD} = 0 AS held FROM parts),
+base AS (SELECT *, {rule} AS rule, {ruled} AS ruled FROM split),
+grams AS (
+  SELECT rid, CASE WHEN NOT held THEN ruled END AS taught, substr(padded, i, {u.ORDER + 1}) AS gram
+  FROM (SELECT *, repeat(chr({ord(u.START)}), {u.ORDER}) || lower(url) AS padded, unnest(generate_series(1, length(url))) AS i FROM base)),
+counts AS (SELECT gram, count(*) FILTER (taught = 'allow') AS allow, count(*) FILTER (taught = 'block') AS block FROM grams GROUP BY gram),
+letters AS (SELECT substr(gram, {u.ORDER + 1}) AS gram, sum(allow)::DOUBLE AS allow, sum(block)::DOUBLE AS block FROM counts GROUP BY ALL),
+known0 AS (SELECT gram, (allow + 1) / (sum(allow) OVER () + count(*) OVER ()) AS p_allow, (block + 1) / (sum(block) OVER () + count(*) OVER ()) AS p_block FROM letters),{''.join(levels)}
+scores AS (SELECT rid, avg(ln(p_allow) - ln(p_block)) AS score FROM grams JOIN known{u.ORDER} USING (gram) GROUP BY rid),
+scored AS (SELECT base.*, round(coalesce(score, 0), 9) AS score FROM base LEFT JOIN scores USING (rid)),
+tested AS (SELECT ruled, score FROM scored WHERE held AND ruled IS NOT NULL),
+span AS (SELECT min(score) AS low, (max(score) - min(score)) / {u.STEPS} AS width FROM tested),
+steps AS (SELECT least(floor((score - low) / width), {u.STEPS - 1})::INTEGER AS step, count(*) FILTER (ruled = 'allow') AS allow, count(*) FILTER (ruled = 'block') AS block FROM tested, span GROUP BY ALL),
+below AS (
+  SELECT step, coalesce(sum(block) OVER b, 0) / greatest(sum(block) OVER (), 1) + (sum(allow) OVER () - coalesce(sum(allow) OVER b, 0)) / greatest(sum(allow) OVER (), 1) AS good,
+         coalesce(lag(step) OVER (ORDER BY step), step - 1) AS before
+  FROM steps WINDOW b AS (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cuts AS (SELECT round(good, 12) AS good, (step + before + 1) / 2 * width + low AS cut FROM below, span),
+best AS (SELECT cut FROM cuts ORDER BY good DESC, abs(cut), cut DESC LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM scored, best"""

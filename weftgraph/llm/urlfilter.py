@@ -138,7 +138,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text, ruled = _ruled(rules)
     base = materialize(base.withColumns({"rule": text, "ruled": ruled, "row": F.monotonically_increasing_id()}), "urls")
 
-    held = F.crc32("url") % HELD == 0
+    held = F.conv(F.substring(F.md5(F.col("url").cast("binary")), 1, 8), 16, 10).cast("bigint") % HELD == 0
     taught = F.when(~held, F.col("ruled"))
     grams = _grams(base.select("url", taught.alias("taught")), "taught")
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"), *(F.sum((F.col("taught").eqNullSafe(k)).cast("long")).alias(k) for k in ("allow", "block")))
