@@ -282,12 +282,17 @@ class Graph:
         for f in kind.fields:
             if f.name in rows.columns and rows.schema[f.name].dataType != f.type.spark and self.config.validation and type(rows.schema[f.name].dataType) is not type(f.type.spark):
                 raise TypeMismatch(f"{schema}.{f.name} is {f.type}, not {rows.schema[f.name].dataType.simpleString()}")
-            if not f.nullable and self.config.validation and (f.name not in rows.columns or rows.filter(F.col(f.name).isNull()).limit(1).count()):
+            if not f.nullable and self.config.validation and f.name not in rows.columns:
                 raise Invalid(f"{schema}.{f.name} is required")
         full = rows.select(*(F.col(f.name).cast(f.type.spark).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.type.spark).alias(f.name) for f in kind.fields))
         first = self._next_id(schema)
         numbered, n = mutate.with_dense_ids(full, first)
         numbered = numbered.select(*kind.names)
+        required = [f.name for f in kind.fields if not f.nullable]
+        if required and n and self.config.validation:  # of what was written, so that rows run once
+            missing = numbered.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in required)).first()
+            if any(missing):
+                raise Invalid(f"{schema}.{next(c for c in required if missing[c])} is required")
         table.next_id = first + n
         self._store(table, self._flushed(table, kind.spark).unionByName(numbered))
         if self.config.versioning:

@@ -15,7 +15,7 @@ from .lang.runner import execute
 from .operators import temporal
 from .plans.expressions import Comparison, Path
 from .plans.query import Item, Query, Update
-from .views import document_graph, event_graph, star_graph, talk_graph
+from .views import document_graph, event_graph, star_graph, table, talk_graph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -151,7 +151,7 @@ _ITEMS = f"(SELECT *, l_orderkey * 1000 + row_number() OVER (PARTITION BY l_orde
 def _items(spark: SparkSession, sf_dir: str) -> Graph:
     """Orders and parts with items as edges that have ids: the order's number and the item's place in it."""
     graph = star_graph(spark, sf_dir)
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = table(spark, sf_dir, "lineitem")
     place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*_PLACE))
     edges = items.select((F.col("l_orderkey") * 1000 + place).alias("id"), F.col("l_orderkey").alias("source_id"), F.col("l_partkey").alias("target_id"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_returnflag").alias("returnflag"))
     graph.use_edges("ITEM", edges, "Orders", "Part")
@@ -198,7 +198,7 @@ def _map_key_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_steps("array_set", "SELECT c_custkey AS c_id, CASE WHEN c_acctbal < 0 THEN ['debt', 'watch'] ELSE [c_mktsegment] END AS c_tags FROM customer")
 def _array_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark)
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = table(spark, sf_dir, "customer")
     graph.use_nodes("Customer", customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal"), F.array("c_mktsegment").alias("tags")))
     graph.update(Update.match(Query.match("c:Customer").where("c.acctbal", "<", 0.0)).set("c.tags", ["debt", "watch"]))
     return graph.query(Query.match("c:Customer").select("c.id", "c.tags")).df
@@ -207,7 +207,7 @@ def _array_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_steps("array_append", "SELECT c_custkey AS c_id, CASE WHEN c_acctbal < 0 THEN [c_mktsegment, 'debt', 'watch'] ELSE [c_mktsegment] END AS c_tags FROM customer")
 def _array_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark)
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    customer = table(spark, sf_dir, "customer")
     graph.use_nodes("Customer", customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("acctbal"), F.array("c_mktsegment").alias("tags")))
     graph.update(Update.match(Query.match("c:Customer").where("c.acctbal", "<", 0.0)).append("c.tags", ["debt", "watch"]))
     return graph.query(Query.match("c:Customer").select("c.id", "c.tags")).df
@@ -216,7 +216,7 @@ def _array_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _placed(spark: SparkSession, sf_dir: str) -> Graph:
     """Customers and orders with edges that have a property and no id."""
     graph = star_graph(spark, sf_dir)
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders = table(spark, sf_dir, "orders")
     graph.use_edges("ORDERED", orders.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), F.col("o_orderpriority").alias("priority")), "Customer", "Orders")
     return graph
 
@@ -294,11 +294,11 @@ def _csv_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph, base = Graph(spark), f"{shared_root(spark)}/csv-{uuid.uuid4().hex}"
     folder = spark._jvm.org.apache.hadoop.fs.Path(base)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    for table in ("nation", "region"):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").write.csv(f"{base}/{table}", header=True)
-    columns = spark.read.parquet(f"{sf_dir}/nation.parquet").columns
+    for name in ("nation", "region"):
+        table(spark, sf_dir, name).write.csv(f"{base}/{name}", header=True)
+    columns = table(spark, sf_dir, "nation").columns
     nations = ", ".join({"n_nationkey": "n_nationkey long", "n_regionkey": "n_regionkey long"}.get(c, f"{c} string") for c in columns)
-    regions = ", ".join({"r_regionkey": "r_regionkey long"}.get(c, f"{c} string") for c in spark.read.parquet(f"{sf_dir}/region.parquet").columns)
+    regions = ", ".join({"r_regionkey": "r_regionkey long"}.get(c, f"{c} string") for c in table(spark, sf_dir, "region").columns)
     nodes_from_csv(graph, "Nation", f"{base}/nation", nations, "n_nationkey")
     nodes_from_csv(graph, "Region", f"{base}/region", regions, "r_regionkey")
     edges_from_csv(graph, "IN_REGION", f"{base}/nation", nations, "Nation", "Region", "n_nationkey", "n_regionkey")
@@ -308,7 +308,7 @@ def _csv_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_steps("filter_bool", "SELECT c_custkey AS c_id, c_acctbal > 5000 AS c_rich FROM customer WHERE NOT c_acctbal > 5000")
 def _filter_bool(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark)
-    graph.use_nodes("Customer", spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 5000).alias("rich")))
+    graph.use_nodes("Customer", table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_acctbal") > 5000).alias("rich")))
     return graph.query(Query.match("c:Customer").where("c.rich", "=", False)).df
 
 
@@ -395,7 +395,7 @@ def _create_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = Graph(spark)
     graph.create_schema("Place", {"name": "string"})
     graph.create_schema("Firm", {"name": "string", "nation": "string"})
-    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    supplier, nation = (table(spark, sf_dir, t) for t in ("supplier", "nation"))
     graph.create_nodes("Place", nation.select(F.col("n_name").alias("name")))
     graph.create_nodes("Firm", supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("name"), F.col("n_name").alias("nation")))
     firms, places = graph.node_frame("Firm"), graph.node_frame("Place")
@@ -409,7 +409,7 @@ def _create_bulk_aggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and edges made of aggregated tables: each row becomes one node and one edge, whatever partitions they are read in."""
     graph = Graph(spark)
     graph.create_schema("Sold", {"key": "int64", "lines": "int64", "flags": "string"})
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    items = table(spark, sf_dir, "lineitem")
     sold = items.groupBy(F.col("l_partkey").alias("key")).agg(F.count("*").alias("lines"), F.concat_ws("", F.array_sort(F.collect_set("l_returnflag"))).alias("flags"))
     n = graph.create_nodes("Sold", sold)
     nodes = graph.node_frame("Sold")

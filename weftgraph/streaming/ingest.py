@@ -9,12 +9,12 @@ from ..graph import Graph
 
 
 def stream_nodes(graph: Graph, schema: str, rows: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append a stream of rows with a schema's fields. Batches are cut from the stream's lineage, so queries read them again."""
-    return _start(rows, checkpoint, lambda batch: graph.create_nodes(schema, graph._cut(batch)), trigger)
+    """Append a stream of rows with a schema's fields. A batch is written once, so queries don't go back to the stream."""
+    return _start(rows, checkpoint, lambda batch: graph.create_nodes(schema, batch), trigger)
 
 
 def stream_edges(graph: Graph, type: str, rows: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-    return _start(rows, checkpoint, lambda batch: graph.connect_many(type, graph._cut(batch)), trigger)
+    return _start(rows, checkpoint, lambda batch: graph.connect_many(type, batch), trigger)
 
 
 def _start(rows: DataFrame, checkpoint: str, load, trigger: dict) -> StreamingQuery:

@@ -8,12 +8,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions import maps
 from .graph import Config, Graph
 from .operators import temporal
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table. Its schema is looked up once: the files are read-only, so footers need not be opened for each query."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
 def _nodes(table: DataFrame, key: str, **fields: str) -> DataFrame:
     return table.select(F.col(key).cast("bigint").alias("id"), *(F.col(c).alias(n) for n, c in fields.items()))
 
@@ -28,14 +40,14 @@ def user_versions(events: DataFrame) -> DataFrame:
 
 
 def star_graph(spark: SparkSession, sf_dir: str, config: Config | None = None) -> Graph:
-    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    read = lambda name: table(spark, sf_dir, name)
     graph = Graph(spark, config)
 
-    def nodes(schema: str, table: str, key: str, **fields: str) -> None:
-        graph.on_demand(schema, lambda: graph.use_nodes(schema, _nodes(read(table), key, **fields)))
+    def nodes(schema: str, source: str, key: str, **fields: str) -> None:
+        graph.on_demand(schema, lambda: graph.use_nodes(schema, _nodes(read(source), key, **fields)))
 
-    def edges(name: str, table: str, source: str, target: str, ends: tuple[str, str], unique: bool = True) -> None:
-        graph.on_demand(name, lambda: graph.use_edges(name, _edges(read(table), source, target), *ends, unique=unique))
+    def edges(name: str, rows: str, source: str, target: str, ends: tuple[str, str], unique: bool = True) -> None:
+        graph.on_demand(name, lambda: graph.use_edges(name, _edges(read(rows), source, target), *ends, unique=unique))
 
     def contains() -> None:
         # An item has no id of its own; of parallel items the one that is last in this order counts.
@@ -66,7 +78,7 @@ def item_order() -> Column:
 def talk_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Messages; REPLIES from each to the one before, ANSWERS from an assistant's to the one before."""
     graph = Graph(spark)
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    rows = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
     graph.use_nodes("Message", rows.select("id", "conv_id", "turn", "role"))
     later = rows.filter("turn > 0").select(F.col("id").alias("source_id"), (F.col("id") - 1).alias("target_id"), "role")
     graph.use_edges("REPLIES", later.drop("role"), "Message", "Message", unique=True)
@@ -76,7 +88,7 @@ def talk_graph(spark: SparkSession, sf_dir: str) -> Graph:
 
 def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
     graph = Graph(spark)
-    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     graph.use_nodes("Document", docs.select(F.col("doc_id").alias("id"), "lang", "source", "n_chars"))
     graph.use_nodes("Label", labels.select(F.col("doc_id").alias("id"), "quality", "toxic"))
     graph.use_edges("LABELLED", labels.select(F.col("doc_id").alias("source_id"), F.col("doc_id").alias("target_id")), "Document", "Label", unique=True)
@@ -86,7 +98,7 @@ def document_graph(spark: SparkSession, sf_dir: str) -> Graph:
 def event_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Event nodes with a property map; User nodes with versions."""
     graph = Graph(spark, Config(versioning=True))
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = table(spark, sf_dir, "events")
 
     def users() -> None:
         versions = user_versions(events)
