@@ -769,7 +769,9 @@ def test_common():
     assert (minhash._common(sets)[off] == np.array(want)[off]).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 20, 0])
+def test_components(spark, monkeypatch, one_task):
+    monkeypatch.setattr(minhash, "ONE_TASK", one_task)
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(5, x) for x in range(6, 60)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     got = {r.id: r.component for r in minhash.components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
-from .scratch import materialize, shuffled_join
+from .scratch import join, materialize, shuffled_join
 
 SHINGLE = 5
 BANDS, ROWS = 32, 6
 PERCENT = 85
 #: A group of a bucket has about so many classes and shingles at most; a cell has two groups.
 GROUP, GROUP_SHINGLES = 512, 1_000_000
+#: Up to so many links are made components in one task, 16 bytes each.
+ONE_TASK = 1 << 20
 #: Rows without an id get one above all others, made from the text.
 NO_ID = 1 << 62
 
@@ -201,14 +203,39 @@ def _cells(members: DataFrame) -> DataFrame:
     groups = F.ceil(F.greatest(F.col("n") / GROUP, F.col("shingles") / GROUP_SHINGLES)).cast("int")
     open_ = totals.filter("low < high").groupBy("n", "shingles", "sum").agg(F.min("key").alias("key")).select("key", groups.alias("g"))
     mine = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("g")).cast("int")
-    dealt = shuffled_join(members, open_, ["key"]).withColumn("mine", mine)
+    dealt = join(members, materialize(open_, "open"), ["key"]).withColumn("mine", mine)
     others = F.expr("IF(g = 1, array(0), filter(sequence(0, g - 1), x -> x <> mine))")
     dealt = dealt.withColumn("other", F.explode(others))
     return dealt.select("rep", "component", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("cell"))
 
 
+def least_labels(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids in edges (u, v) and the least id connected with each: least labels of neighbours, and of these labels' labels."""
+    ids, flat = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = flat[: len(u)], flat[len(u) :]
+    label = np.arange(len(ids))
+    while True:
+        least, new = np.minimum(label[a], label[b]), label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return ids, ids[label]
+        label = new
+
+
+def _in_one_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if ends:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in least_labels(*map(np.concatenate, zip(*ends, strict=True)))], ["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the ids in edges (u, v): the least id connected. Alternating large-star and small-star."""
+    """(id, component) of the ids in edges (u, v): the least id connected.
+
+    Up to ONE_TASK edges, counted before, are followed in one task; more by alternating large-star and small-star.
+    """
 
     def spread(e: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -220,8 +247,10 @@ def components(edges: DataFrame) -> DataFrame:
         own = least.filter("m < u").select("u", F.col("m").alias("v"))
         return joined.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(own).distinct()
 
-    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = materialize(edges, "edges")
+    edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
+    if edges.count() <= ONE_TASK:
+        return edges.coalesce(1).mapInArrow(_in_one_task, "id bigint, component bigint")
+    edges = materialize(edges.distinct(), "edges")
 
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -256,12 +285,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     keyed = classes.select("rep", "n_shingles", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = materialize(shuffled_join(keyed, shared, ["key"]), "members")
-    weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
-    members = materialize(shuffled_join(members, weight, ["rep"]).select("key", "rep", "n_shingles", "weight"), "weighted")
+    weight = materialize(members.groupBy("rep").agg(F.sum("n").alias("weight")), "weight")
+    members = materialize(join(members, weight, ["rep"]).select("key", "rep", "n_shingles", "weight"), "weighted")
     if sketches.groupBy("node", "told").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():  # rows that stand twice
         texts = texts.groupBy("node", "told").agg(F.first("text").alias("text"))
-    wanted = shuffled_join(classes.select("rep", "node", "told"), members.select("rep").distinct(), ["rep"])
-    candidate_texts = materialize(shuffled_join(texts, wanted, ["node", "told"]).select("rep", "text"), "texts")
+    wanted = materialize(join(classes.select("rep", "node", "told"), weight.select("rep"), ["rep"]), "wanted")
+    candidate_texts = materialize(join(texts, wanted, ["node", "told"]).select("rep", "text"), "texts")
 
     # A bucket's centre is its heaviest class.
     centres = members.groupBy("key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c")).select("key", (-F.col("c.r")).alias("u"))
@@ -274,20 +303,20 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     comps = materialize(components(links), "components")
 
     # The rest of a bucket, where it is not one component, is compared all with all.
-    rest = stars.select("key", "rep", "n_shingles").join(comps, F.col("rep") == F.col("id"), "left")
+    rest = join(stars.select("key", "rep", "n_shingles"), comps.withColumnRenamed("id", "rep"), ["rep"], "left")
     rest = materialize(rest.select("key", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")), "rest")
     cells = materialize(_cells(rest), "cells")
     meeting = shuffled_join(cells, candidate_texts, ["rep"]).select("cell", "rep", "component", "text")
     more = meeting.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(shingle, percent), "u bigint, v bigint")
     more = materialize(more, "links")
     if more.limit(1).count():
-        comps = materialize(components(links.unionByName(more)), "components")
+        comps = materialize(components(comps.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more)), "components")
 
     # From classes back to rows: the least node of a component, of all its classes.
-    nodes = materialize(shuffled_join(classes.select(F.col("rep").alias("id"), "node"), comps, ["id"]), "nodes")
-    least = nodes.groupBy("component").agg(F.min("node").alias("least"))
-    least = shuffled_join(nodes.select("id", "component"), least, ["component"]).select(F.col("id").alias("rep"), "least")
-    labels = shuffled_join(classes.select("rep", *same, "node"), least, ["rep"], "left").select(*same, F.coalesce("least", "node").alias("component"))
+    nodes = materialize(join(classes.select(F.col("rep").alias("id"), "node"), comps, ["id"]), "nodes")
+    least = materialize(nodes.groupBy("component").agg(F.min("node").alias("least")), "least")
+    least = materialize(join(nodes.select("id", "component"), least, ["component"]).select(F.col("id").alias("rep"), "least"), "least")
+    labels = join(classes.select("rep", *same, "node"), least, ["rep"], "left").select(*same, F.coalesce("least", "node").alias("component"))
     joined = shuffled_join(sketches.select("node", *same), materialize(labels, "labels"), same, "left")
     component = F.coalesce("component", "node")
     own = F.when(F.col("node") < NO_ID, F.col("node"))

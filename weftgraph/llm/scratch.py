@@ -74,3 +74,8 @@ def shuffled_join(big: DataFrame, other: DataFrame, keys: list[str], how: str =
     extra = F.xxhash64(*[F.col(k) for k in keys]).bitwiseAND(F.lit(1))
     cond_big, cond_other = big.withColumn("__weft_jk", extra), other.withColumn("__weft_jk", extra)
     return cond_big.join(cond_other.hint("merge"), [*keys, "__weft_jk"], how).drop("__weft_jk")
+
+
+def join(big: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """big joined with other: by broadcast if a count shows other to be small, else by a shuffle that can split hot keys."""
+    return big.join(F.broadcast(other), keys, how) if small(other) else shuffled_join(big, other, keys, how)
