@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize, shuffled_join, small
+from .scratch import join, materialize, shuffled_join, small
 
 ORDER = 5  # characters of the longest context
 EVIDENCE = 4  # times that a model must have met a context to use it
@@ -75,23 +75,31 @@ def _grams(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(grams).alias("gram"))
 
 
+def _suffixes(gram: str) -> Column:
+    """The last character with each of its contexts, from none to ORDER characters."""
+    return F.array(*(F.substring(gram, ORDER - order + 1, order + 1) for order in range(ORDER + 1)))
+
+
 def _model(counts: DataFrame) -> DataFrame:
     """(gram, n, allow, block) of every gram of ORDER + 1 characters to (gram, n, ratio), ratio the difference of log-probabilities."""
     kinds = ("allow", "block")
-    letters = counts.groupBy(F.substring("gram", ORDER + 1, 1).alias("gram")).agg(*(F.sum(k).alias(k) for k in kinds))
-    total = letters.agg(F.count("*").alias("n"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).first()
+    sums = counts.select(F.explode(_suffixes("gram")).alias("part"), *kinds).groupBy("part").agg(*(F.sum(k).alias(k) for k in kinds))
+    after = Window.partitionBy(F.substring("part", F.lit(1), F.length("part") - 1))  # as many rows as characters follow a context
+    met = {f"n_{k}": F.sum(k).over(after) for k in kinds} | {f"kinds_{k}": F.sum((F.col(k) > 0).cast("int")).over(after) for k in kinds}
+    stats = materialize(sums.withColumns(met), "urlstats")
+    total = stats.filter(F.length("part") == 1).agg(F.count("*").alias("n"), *(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in kinds)).first()
     if not total["allow"] or not total["block"]:
         return counts.select("gram", "n", F.lit(0.0).alias("ratio"))
-    known = letters.select("gram", *(((F.col(k) + 1) / F.lit(float(total[k] + total["n"]))).alias(f"p_{k}") for k in kinds))
+    told = join(counts.select("gram", "n", F.explode(_suffixes("gram")).alias("part")), stats, ["part"])
+    at = lambda order, c: F.max(F.when(F.length("part") == order + 1, F.col(c))).alias(f"{c}_{order}")
+    wide = told.groupBy("gram").agg(F.first("n").alias("n"), *(at(order, c) for order in range(ORDER + 1) for c in (*kinds, *met)))
+    known = {k: (F.col(f"{k}_0") + 1) / F.lit(float(total[k] + total["n"])) for k in kinds}
     for order in range(1, ORDER + 1):
-        sums = counts if order == ORDER else counts.groupBy(F.substring("gram", ORDER - order + 1, order + 1).alias("gram")).agg(*(F.sum(k).alias(k) for k in kinds))
-        after = Window.partitionBy(F.substring("gram", 1, order))  # as many rows as characters follow a context
-        met = {f"n_{k}": F.sum(k).over(after) for k in kinds} | {f"kinds_{k}": F.sum((F.col(k) > 0).cast("int")).over(after) for k in kinds}
-        shorter = known.select(F.col("gram").alias("_shorter"), *(F.col(f"p_{k}").alias(f"q_{k}") for k in kinds))
-        joined = sums.withColumns(met).join(shorter, F.substring("gram", 2, order) == F.col("_shorter"))
-        p = lambda k: F.when(F.col(f"n_{k}") >= EVIDENCE, (F.col(k) + F.col(f"kinds_{k}") * F.col(f"q_{k}")) / (F.col(f"n_{k}") + F.col(f"kinds_{k}"))).otherwise(F.col(f"q_{k}"))
-        known = joined.select("gram", *(["n"] if order == ORDER else []), *(p(k).alias(f"p_{k}") for k in kinds))
-    return known.select("gram", "n", (F.log("p_allow") - F.log("p_block")).alias("ratio"))
+        wide = wide.withColumns({f"p_{k}_{order}": known[k] for k in kinds})  # of the next shorter context
+        for k in kinds:
+            here, n, different, shorter = (F.col(c) for c in (f"{k}_{order}", f"n_{k}_{order}", f"kinds_{k}_{order}", f"p_{k}_{order}"))
+            known[k] = F.when(n >= EVIDENCE, (here + different * shorter) / (n + different)).otherwise(shorter)
+    return wide.select("gram", "n", (F.log(known["allow"]) - F.log(known["block"])).alias("ratio"))
 
 
 def _scored(rows: DataFrame, model: DataFrame, keep: list[str]) -> DataFrame:
@@ -143,7 +151,7 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     grams = _grams(base.select("url", taught.alias("taught")), "taught")
     counts = grams.groupBy("gram").agg(F.count("*").alias("n"), *(F.sum((F.col("taught").eqNullSafe(k)).cast("long")).alias(k) for k in ("allow", "block")))
     model = materialize(_model(materialize(counts, "grams")), "urlmodel")
-    cut = _cut(_scored(base.filter(F.col("ruled").isNotNull() & held), model, ["ruled"]))
+    cut = _cut(materialize(_scored(base.filter(F.col("ruled").isNotNull() & held), model, ["ruled"]), "tested"))
 
     fields = ["page_id", "host", "path", "rule"]
     by_rule = base.filter("ruled IS NOT NULL").select(*fields, F.col("ruled").alias("verdict"), F.lit(None).cast("double").alias("score"))
