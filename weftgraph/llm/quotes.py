@@ -67,19 +67,11 @@ def _exploded(rows: DataFrame, quoted: bool) -> DataFrame:
     return every.distinct() if quoted else every.select(*keys, "unit")
 
 
-def link(conversations: DataFrame) -> DataFrame:
-    """One row a message: conv_id, turn, role, reply_to, thread, n_quoted, n_linked, depth, text (without quotes).
+LINKED = "conv_id bigint, turn bigint, n_linked bigint, reply_to bigint, thread bigint"
 
-    reply_to is the turn answered, null if nothing quoted is found earlier in the conversation; thread the turn at the root of
-    the message's tree (its own, if it answers nothing); reading order is conv_id, thread, turn. n_quoted counts
-    quoted passages, n_linked those of which the whole or a sentence is found, depth is the deepest level. Ties between
-    answered messages go to the latest. A line that introduces a quote goes with the quote; a null text stays null. Messages
-    with a null conv_id or turn link with nothing. Rows that share conv_id and turn count as one message for links, and each
-    stays a row. Lines may have any number of marks and texts any length.
-    """
-    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    named = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
-    asked = materialize(_exploded(parse(named.filter(F.col("text").contains(">"))), True), "asked")
+
+def _linked(named: DataFrame, asked: DataFrame) -> DataFrame:
+    """LINKED of each message of named of whose quotes, asked, some are found."""
     talks = broadcast_if_small(asked.select("conv_id").distinct())
     own = _exploded(parse(named.join(talks, "conv_id", "left_semi")), False)
     wanted = asked.select("conv_id", "unit").distinct()
@@ -100,7 +92,23 @@ def link(conversations: DataFrame) -> DataFrame:
         root = jumped.select("conv_id", "turn", "thread")
         if not jumped.filter("moved").limit(1).count():
             break
-    linked = materialize(shuffled_join(answers, root, ["conv_id", "turn"]), "linked")
+    return materialize(shuffled_join(answers, root, ["conv_id", "turn"]).select("conv_id", "turn", "n_linked", "reply_to", "thread"), "linked")
+
+
+def link(conversations: DataFrame) -> DataFrame:
+    """One row a message: conv_id, turn, role, reply_to, thread, n_quoted, n_linked, depth, text (without quotes).
+
+    reply_to is the turn answered, null if nothing quoted is found earlier in the conversation; thread the turn at the root of
+    the message's tree (its own, if it answers nothing); reading order is conv_id, thread, turn. n_quoted counts
+    quoted passages, n_linked those of which the whole or a sentence is found, depth is the deepest level. Ties between
+    answered messages go to the latest. A line that introduces a quote goes with the quote; a null text stays null. Messages
+    with a null conv_id or turn link with nothing. Rows that share conv_id and turn count as one message for links, and each
+    stays a row. Lines may have any number of marks and texts any length.
+    """
+    rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    named = rows.filter("conv_id IS NOT NULL AND turn IS NOT NULL")
+    asked = materialize(_exploded(parse(named.filter(F.col("text").contains(">"))), True), "asked")
+    linked = _linked(named, asked) if asked.limit(1).count() else conversations.sparkSession.createDataFrame([], LINKED)
 
     # The lines of a message that are kept: its own, but for an introduction right before a quote.
     parsed = parse(rows)
