@@ -82,14 +82,13 @@ def within_schema(prefix: DataFrame, edges: Edges, nodes: DataFrame, near: str,
     # On a later hop the prefix's rows take the place of the sources: a row stays alone unless its node is the source of a match.
     source, target = (near, far) if near_is_source else (far, near)
     pairs = inner(prefix, edges, nodes, near, far)
-    sources = pairs.select(_at(source).alias("_id")).distinct()
-    kept = pairs.join(sources, _at(target) == F.col("_id"), "left_anti")
-    targets = kept.select(_at(target).alias("_id")).distinct()
-    out = kept
+    end = lambda c, is_source: F.struct(_at(c).alias("_id"), F.lit(is_source).alias("_from"))
+    ends = pairs.select(F.explode(F.array(end(source, True), end(target, False))).alias("_end")).select("_end.*")
+    roles = ends.groupBy("_id").agg(F.max("_from").alias("_from"))  # of all nodes in pairs
+    sources, all_ends = roles.filter("_from").select("_id"), roles.select("_id")
+    out = pairs.join(sources, _at(target) == F.col("_id"), "left_anti")
     for rows, key, wanted in ((prefix, near, keep_prefix_rows), (nodes, far, keep_far_rows)):
-        if wanted:
-            alone = rows.join(sources, _at(key) == F.col("_id"), "left_anti")
-            if key == target:
-                alone = alone.join(targets, _at(key) == F.col("_id"), "left_anti")
+        if wanted:  # a target of a pair is a source, or stands in a pair that is kept
+            alone = rows.join(all_ends if key == target else sources, _at(key) == F.col("_id"), "left_anti")
             out = out.unionByName(alone, allowMissingColumns=True)
     return out
