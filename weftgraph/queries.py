@@ -457,6 +457,22 @@ def _snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Graph.open(spark, config).query(Query.match("c:Customer").traverse("c", "PLACED", "o:Orders").where("o.totalprice", ">", 280000.0)).df
 
 
+@_steps("snapshot_of_before", "SELECT c_custkey AS c_id, c_mktsegment AS before, CASE WHEN c_acctbal < 0 THEN 'DEBT' ELSE c_mktsegment END AS after, 2 AS n_snapshots FROM customer")
+def _snapshot_of_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two commits; the first is restored beside the second."""
+    from .sources.snapshot import restore, snapshots
+
+    config = _snapshot_config(spark)
+    graph = Graph(spark, config)
+    graph.use_nodes("Customer", star_graph(spark, sf_dir).node_frame("Customer"))
+    first = graph.commit()
+    graph.update(Update.match(Query.match("c:Customer").where("c.acctbal", "<", 0.0)).set("c.segment", "DEBT"))
+    graph.commit()
+    read = lambda g, name: g.query(Query.match("c:Customer").select("c.id", Item("c.segment", name))).df
+    both = read(restore(spark, config, first), "before").join(read(Graph.open(spark, config), "after"), "c.id")
+    return both.withColumn("n_snapshots", F.lit(len(snapshots(spark, config.path))))
+
+
 @_steps("shard_info", "SELECT CAST(floor(id / 1000) AS BIGINT) AS shard, count(*) AS count, min(c) AS min_id, max(c) AS max_id FROM (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS id, c_custkey AS c FROM customer WHERE c_acctbal >= 0) GROUP BY 1")
 def _shard_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = star_graph(spark, sf_dir, Config(shard_capacity=1000))
@@ -481,6 +497,37 @@ _text("text_edge_alias", "MATCH (o:Orders)-[e:CONTAINS INNER]->(p:Part) WHERE e.
 _text("text_field_compare", "MATCH (c:Customer)-[:PLACED]->(o:Orders) WHERE o.totalprice <= c.acctbal OR c.acctbal < 0 SELECT c.id, o.id;", "SELECT c_custkey AS c_id, o_orderkey AS o_id FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_totalprice <= c_acctbal OR c_acctbal < 0")
 
 
+_text("text_layout_and_comments", """MATCH (c:Customer)   // who
+-- what they ordered
+  -[:PLACED]->(o:Orders)
+WHERE (c.segment = "BUILDING" OR c.segment = "MACHINERY") AND (o.totalprice > 200000.0 OR o.totalprice < 20000.0) AND o.status <> "F"
+SELECT c.id AS who, o.id AS what;""", "SELECT c_custkey AS who, o_orderkey AS what FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND (o_totalprice > 200000 OR o_totalprice < 20000) AND o_orderstatus <> 'F'")
+
+
+@_steps("text_update_pattern", "SELECT c_custkey AS c_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 280000) THEN 'VIP' ELSE c_mktsegment END AS c_segment FROM customer")
+def _text_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star_graph(spark, sf_dir)
+    execute(graph, 'UPDATE MATCH (c:Customer)-[:PLACED]->(o:Orders) SET c.segment = "VIP" WHERE o.totalprice > 280000.0;')
+    return execute(graph, "MATCH (c:Customer) SELECT c.id, c.segment;")
+
+
+@_steps("text_delete_edges", "SELECT c_custkey AS c_id, o_orderkey AS o_id FROM customer JOIN orders ON c_custkey = o_custkey WHERE NOT (c_mktsegment = 'BUILDING' AND o_orderstatus = 'F')")
+def _text_delete_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = star_graph(spark, sf_dir)
+    execute(graph, 'DELETE EDGE PLACED FROM (Customer{segment = "BUILDING"}) TO (Orders{status = "F"});')
+    return execute(graph, "MATCH (c:Customer)-[:PLACED]->(o:Orders) SELECT c.id, o.id;")
+
+
+@_steps("text_create_edges", "SELECT n_name, r_name FROM (SELECT 'Xland' AS n_name) x, region WHERE r_name LIKE 'A%' UNION ALL SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _text_create_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new node, and edges from it to each node that a selection picks."""
+    graph = star_graph(spark, sf_dir)
+    id = execute(graph, 'CREATE NODE Nation (name = "Xland") RETURN id;')
+    for name in (r["name"] for r in graph.node_frame("Region").filter("name LIKE 'A%'").collect()):
+        execute(graph, f'CREATE EDGE IN_REGION FROM Nation({id}) TO (Region{{name = "{name}"}});')
+    return execute(graph, "MATCH (n:Nation)-[:IN_REGION]->(r:Region) SELECT n.name, r.name;")
+
+
 @_steps("text_script", "SELECT 'Ann' AS u_name, 31::BIGINT AS u_age, 'Acme' AS c_name, 2020::BIGINT AS e_since UNION ALL SELECT 'Bob', 25, NULL, NULL")
 def _text_script(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemas, nodes, edges and an update by statements."""
